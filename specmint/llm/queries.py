@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from specmint.llm.decontaminate import op4_decontaminate
 from specmint.llm.line_dedup import OP6_SQL, op6_line_dedup
 from specmint.llm.mixing import op3_mixing
+from specmint.llm.quality_rules import op2_quality_rules
 from specmint.llm.records import op7_token_records
 from specmint.llm.simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op3_mixing": op3_mixing,
+        "op4_decontaminate": op4_decontaminate,
         "op6_line_dedup": op6_line_dedup,
         "op7_token_records": op7_token_records,
         "op10_simhash": op10_simhash,
