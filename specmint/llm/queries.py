@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from specmint.llm.decontaminate import op4_decontaminate
+from specmint.llm.licenses import op1_license_scan
 from specmint.llm.line_dedup import OP6_SQL, op6_line_dedup
 from specmint.llm.mixing import op3_mixing
 from specmint.llm.quality_rules import op2_quality_rules
@@ -16,6 +17,7 @@ from specmint.llm.simhash import op10_simhash
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_quality_rules": op2_quality_rules,
         "op3_mixing": op3_mixing,
         "op4_decontaminate": op4_decontaminate,
