@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, text: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have about `most` bytes together; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    first, total = 0, 0
+    for k, size in enumerate(sizes):
+        if total and total + size > most:
+            yield batch.slice(first, k - first)
+            first, total = k, 0
+        total += int(size)
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows no label may be learned from; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from specmint.llm.decontaminate import op4_decontaminate
+from specmint.llm.langid import op5_language_id
 from specmint.llm.licenses import op1_license_scan
 from specmint.llm.line_dedup import OP6_SQL, op6_line_dedup
 from specmint.llm.mixing import op3_mixing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_mixing": op3_mixing,
         "op4_decontaminate": op4_decontaminate,
+        "op5_language_id": op5_language_id,
         "op6_line_dedup": op6_line_dedup,
         "op7_token_records": op7_token_records,
         "op10_simhash": op10_simhash,
