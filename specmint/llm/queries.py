@@ -13,6 +13,7 @@ from specmint.llm.line_dedup import OP6_SQL, op6_line_dedup
 from specmint.llm.mixing import op3_mixing
 from specmint.llm.quality_rules import op2_quality_rules
 from specmint.llm.records import op7_token_records
+from specmint.llm.rule_ensemble import op9_quality_classifier
 from specmint.llm.simhash import op10_simhash
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_line_dedup": op6_line_dedup,
         "op7_token_records": op7_token_records,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_simhash": op10_simhash,
     }
 
