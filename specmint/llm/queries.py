@@ -10,6 +10,7 @@ from specmint.llm.decontaminate import op4_decontaminate
 from specmint.llm.langid import op5_language_id
 from specmint.llm.licenses import op1_license_scan
 from specmint.llm.line_dedup import OP6_SQL, op6_line_dedup
+from specmint.llm.masked_lm import op8_lm_scoring
 from specmint.llm.mixing import op3_mixing
 from specmint.llm.quality_rules import op2_quality_rules
 from specmint.llm.records import op7_token_records
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_line_dedup": op6_line_dedup,
         "op7_token_records": op7_token_records,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_simhash": op10_simhash,
     }
