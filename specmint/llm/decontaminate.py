@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -172,20 +172,25 @@ def _judge(index: Index, k: int, group: list[tuple[int, int]], canon: np.ndarray
     """Coverage of an item by the windows of neighbouring diagonals whose slots agree.
 
     Slots agree when each value of the item stands for one value of the text and the
-    other way round; on a clash the pairing seen first holds and the window is refused.
+    other way round. The diagonal with most votes sets the pairs; a clash on it means another
+    question, so nothing is covered. On its neighbours a clash only refuses the window.
     """
     own_canon, own_kinds, own_values = index.canon[k], index.kinds[k], index.values[k]
     covered = np.zeros(len(own_canon), bool)
     forth: dict[tuple[int, int], int] = {}
     back: dict[tuple[int, int], int] = {}
     differ = set()
-    for diagonal, p in sorted(group, key=lambda v: v[1]):
+    votes = Counter(diagonal for diagonal, _ in group)
+    main = min(votes, key=lambda v: (-votes[v], v))
+    for diagonal, p in sorted(group, key=lambda v: (v[0] != main, v)):
         span = slice(p, p + WINDOW)
         there = slice(diagonal + p, diagonal + p + WINDOW)
         if not np.array_equal(own_canon[span], canon[there]):
             continue
         pairs = [(int(own_kinds[i]), int(own_values[i]), int(values[diagonal + i])) for i in range(p, p + WINDOW) if own_kinds[i] != LITERAL]
         if any(forth.get((kind, a), b) != b or back.get((kind, b), a) != a for kind, a, b in pairs):
+            if diagonal == main:
+                return 0.0, 0
             continue
         for kind, a, b in pairs:
             forth[kind, a], back[kind, b] = b, a
@@ -242,10 +247,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaks = find_leaks(docs, benchmark)
     leaks = leaks.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
     leaks = materialize(leaks, "leaks")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("l_id")) & (F.xxhash64(docs["text"]) == F.col("l_hash"))
-    out = docs.select("doc_id", "text").join(leaks, same, "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    out = own.join(leaks, own["doc_id"].eqNullSafe(leaks["l_id"]) & (own["text_hash"] == leaks["l_hash"]), "left")
     none = F.array().cast("array<bigint>")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_ids").isNotNull().alias("contaminated"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,5 +260,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows that hold a benchmark item go, all others stay."""
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("l_id")) & (F.xxhash64(docs["text"]) == F.col("l_hash"))
-    return docs.join(materialize(leaks, "leaks"), same, "left_anti")
+    leaks = materialize(leaks, "leaks")
+    same = docs["doc_id"].cast("long").eqNullSafe(leaks["l_id"]) & (F.xxhash64(docs["text"]) == leaks["l_hash"])
+    return docs.join(leaks, same, "left_anti")

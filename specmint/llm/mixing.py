@@ -119,6 +119,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: each row as many times as the mix takes it (0, 1 or 2)."""
     plan = mix(docs)
     chosen = plan.where("copies > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source")).agg(F.max("copies").alias("m_copies"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("m_id")) & docs["source"].cast("string").eqNullSafe(F.col("m_source"))
-    taken = docs.join(materialize(chosen, "mix-chosen"), same)
-    return taken.withColumn("m_each", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
+    chosen = materialize(chosen, "mix-chosen")
+    same = docs["doc_id"].cast("long").eqNullSafe(chosen["m_id"]) & docs["source"].cast("string").eqNullSafe(chosen["m_source"])
+    each = F.explode(F.sequence(F.lit(1), chosen["m_copies"])).alias("_mix_copy")
+    return docs.join(chosen, same).select(*(docs[c] for c in docs.columns), each).drop("_mix_copy")

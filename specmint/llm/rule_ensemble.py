@@ -184,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col(target).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("l_id")))
     sample = usable.groupBy("l_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
     names = list(statistics(F.lit("")))
-    found = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("l_id")).select(F.col("l_id"), F.col("y"), F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(sample), "l_id")
     got = found.select("l_id", "y", *(c.alias(n) for n, c in statistics(F.col("text")).items())).toPandas()
     got = got.sort_values(["l_id", *names]).reset_index(drop=True)
     return fit(got[names].to_numpy(float), got["y"].to_numpy(float), names)

@@ -113,9 +113,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     chosen = found.groupBy("component").agg(F.min("key").alias("best"))
     judged = keys.join(chosen, "component").select(F.col("key.doc_id").alias("k_id"), F.col("key.text_hash").alias("k_hash"), "n", F.col("key").eqNullSafe(F.col("best")).alias("stays"))
     judged = materialize(judged.where(~F.col("stays") | (F.col("n") > 1)), "neardup-judged")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(judged["k_id"]) & (F.xxhash64(docs["text"]) == judged["k_hash"])
     kept = docs.join(judged, same, "left_anti")
-    repeated = judged.where("stays")
-    if repeated.isEmpty():
+    if judged.where("stays").isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(docs.join(judged.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
