@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping."""
+"""Connected components by hooking to the smallest neighbour and contracting."""
 
 from __future__ import annotations
 
@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from specmint.storage import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
-    Each round takes the smallest label among neighbours (an aggregation with
-    map-side combine, so a hub costs one row per task) and then follows labels
-    twice (pointer jumping), which needs O(log n) rounds on paths as well. Every
-    round's labels are written to the shared folder. Self edges keep a node as a
-    component of its own; null endpoints are ignored; an empty input gives an empty result.
+    Each round hooks every node to its smallest neighbour (an aggregation with map-side
+    combine, so a hub costs a row per task), follows the hooks once more, and contracts the
+    edges: those inside one tree vanish, parallel ones merge. At least half of the nodes left
+    go in each round, so edges are joined a few times at most, and rounds are
+    logarithmic on paths too. Rounds are cut by tables in the shared folder. A self edge makes its
+    node a component; null endpoints are ignored; an empty input gives an empty result.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = materialize(pairs.union(pairs.select("v", "u")).distinct(), "cc-edges")
-    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "cc-labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        hooked = labels.join(near, "u", "left").select("u", "l", F.least("l", "m").alias("n"))
-        jump = labels.select(F.col("u").alias("n"), F.col("l").alias("j"))
-        step = materialize(hooked.join(jump, "n", "left").select("u", F.least("n", "j").alias("l"), (F.least("n", "j") < F.col("l")).alias("moved")), "cc-labels")
-        changed = step.where("moved").limit(1).count()
-        labels = step.select("u", "l")
-        if not changed:
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
-    raise RuntimeError(f"labels still moved after {max_rounds} rounds")
+    pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    pairs = materialize(pairs.distinct(), "cc-edges")
+    labels = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("component"))
+    labels = materialize(labels, "cc-labels")
+    live = pairs.where("u <> v")
+    while not live.isEmpty():
+        ends = live.select(F.inline(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))))
+        hooks = materialize(ends.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("p")), "cc-hooks")
+        up = hooks.select(F.col("n").alias("p"), F.col("p").alias("q"))
+        hooks = materialize(hooks.join(up, "p").select("n", F.col("q").alias("p")), "cc-hooks")
+        moved = hooks.where("n <> p")
+        labels = materialize(labels.join(moved, labels["component"] == moved["n"], "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels")
+        left = hooks.select(F.col("n").alias("u"), F.col("p").alias("pu"))
+        right = hooks.select(F.col("n").alias("v"), F.col("p").alias("pv"))
+        contracted = live.join(left, "u").join(right, "v").where("pu <> pv")
+        live = materialize(contracted.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "cc-edges")
+    return labels
