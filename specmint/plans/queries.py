@@ -24,8 +24,8 @@ from specmint.operators import scoring as S
 from specmint.operators import standards as N
 from specmint.operators.components import connected_components
 from specmint.operators.constraints import violations
-from specmint.plans import resolution
-from specmint.sources import erp
+from specmint.plans import resolution, views
+from specmint.sources import erp, generate
 from specmint.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -819,3 +819,95 @@ def unmatched_records(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as descriptions through blocking, comparison, fusion and decision."""
     return S.verdict(fused(spark, sf_dir)).select("a", "b", "cos", "fuz", "score", "decision", "verdict")
+
+
+# ---- views -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FUSED}, rv AS (SELECT a, b FROM d WHERE (a + b) % 3 = 0) SELECT decision, count(*) AS pairs, count(rv.a) AS reviewed, count(*) - count(rv.a) AS remaining FROM d LEFT JOIN rv ON d.a = rv.a AND d.b = rv.b GROUP BY decision")
+def queue_stats(spark, sf_dir):
+    rows = fused(spark, sf_dir)
+    seen = rows.where("(a + b) % 3 = 0").select(F.col("a").alias("record_a"), F.col("b").alias("record_b"))
+    return views.queue_stats(rows, seen)
+
+
+@query(f"WITH {FUSED} SELECT a, b, round(score, 4) AS score FROM d WHERE decision = 'REVIEW' AND (a + b) % 3 <> 0")
+def review_queue(spark, sf_dir):
+    rows = fused(spark, sf_dir)
+    seen = rows.where("(a + b) % 3 = 0").select(F.col("a").alias("record_a"), F.col("b").alias("record_b"))
+    return views.queue(rows, seen).select("a", "b", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {FUSED}, t AS (SELECT conflicts FROM d WHERE vetoed ORDER BY cos DESC, a, b LIMIT 300) SELECT c AS key, count(*) AS n FROM (SELECT unnest(conflicts) AS c FROM t) GROUP BY c")
+def conflict_summary(spark, sf_dir):
+    return views.conflict_summary(fused(spark, sf_dir))
+
+
+@query(
+    f"""WITH {FUSED}, x AS (SELECT 'accepted' AS panel, a, b FROM d WHERE decision = 'AUTO_SUGGEST' ORDER BY round(score, 9) DESC, a, b LIMIT 1),
+    y AS (SELECT 'vetoed' AS panel, a, b FROM d WHERE vetoed ORDER BY cos DESC, a, b LIMIT 1) SELECT * FROM x UNION ALL SELECT * FROM y"""
+)
+def demo_panels(spark, sf_dir):
+    return views.panels(fused(spark, sf_dir).withColumn("score", F.round("score", 9))).select("panel", "a", "b")
+
+
+@query(f"WITH {FUSED}, v AS (SELECT a, b, CASE WHEN vetoed THEN 'engineering' WHEN score < 0.75 THEN 'closed' WHEN score >= 0.92 THEN 'steward' ELSE 'engineering' END AS stage FROM d) SELECT stage, count(*) AS n FROM v GROUP BY stage")
+def workflow_cases(spark, sf_dir):
+    return views.cases(S.verdict(fused(spark, sf_dir))).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TWIN}, {OWNER} SELECT x.record_id AS a, y.record_id AS b, round(x.p_retailprice * 2 + y.p_retailprice * 2, 4) AS value_at_stake, CASE WHEN ox.cpse <> oy.cpse THEN 'INTER' WHEN ox.plant <> oy.plant THEN 'INTRA' ELSE 'SAME_PLANT' END AS scope FROM m x JOIN m y ON x.group_id = y.group_id AND x.record_id < y.record_id JOIN own ox ON ox.record_id = x.record_id JOIN own oy ON oy.record_id = y.record_id")
+def enriched_pairs(spark, sf_dir):
+    pairs = resolution.pairs_in_blocks(twins(spark, sf_dir).select(F.col("group_id").alias("block"), "record_id"))
+    records = owners(spark, sf_dir).join(parts(spark, sf_dir).select("record_id", F.col("price").alias("unit_value")), "record_id").withColumn("qty", F.lit(2.0))
+    return views.pair_view(pairs, records).select("a", "b", F.round("value_at_stake", 4).alias("value_at_stake"), "scope")
+
+
+@query("WITH t AS (SELECT event_id AS id, user_id, event_id % 40 AS rb FROM events ORDER BY event_id DESC LIMIT 200) SELECT id, x.p_name AS description_a, y.p_name AS description_b FROM t LEFT JOIN part x ON x.p_partkey = user_id LEFT JOIN part y ON y.p_partkey = rb")
+def audit_view(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("record_a"), (F.col("event_id") % 40).alias("record_b"))
+    return views.audit_view(log, parts(spark, sf_dir)).select("id", "description_a", "description_b")
+
+
+@query("SELECT p_partkey AS record_id FROM part WHERE lower(p_name) LIKE '%o%' AND p_brand = 'Brand#13'")
+def record_search(spark, sf_dir):
+    records = parts(spark, sf_dir).select("record_id", "description", F.col("description").alias("norm"), F.element_at("attrs", "brand").alias("cpse"), F.col("record_id").cast("string").alias("legacy_code"))
+    return views.search_records(records, cpse="Brand#13", text="o").select("record_id")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def snapshot_round_trip(spark, sf_dir):
+    """A small table through the JSON snapshot and back."""
+    whole = views.snapshot(region=table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    back = F.from_json("document", "struct<region: array<struct<r_regionkey: int, r_name: string>>>")
+    return whole.select(F.inline(back["region"]))
+
+
+@query("SELECT n_regionkey, count(*) AS records, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def region_rollup(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query(values([("10.10.10", "bore_in,schedule,material_grade"), ("20.20.10", "thread,material_grade"), ("30.20.20", "bearing_desig"), ("99.99.99", "")], "class_code keys"))
+def class_keys(spark, sf_dir):
+    rows = views.class_table(spark).where("class_code in ('10.10.10', '20.20.10', '30.20.20', '99.99.99')")
+    return rows.select("class_code", F.array_join("defining_keys", ",").alias("keys"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def import_upsert(spark, sf_dir):
+    """Importing the same log twice by its natural key leaves it as it is."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return erp.upsert(e, e, ["event_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+GENERATED = values([("dev", True), ("test", True), ("val", True)], "split sound", "VARCHAR BOOLEAN")
+
+
+@query(GENERATED)
+def generated_benchmark(spark, sf_dir):
+    """Families of the generated benchmark lie in one split each."""
+    rows = generate.records(spark, 2000)
+    torn = rows.groupBy("family_id").agg(F.count_distinct("split").alias("n"), F.first("split").alias("split"))
+    return torn.groupBy("split").agg((F.max("n") == 1).alias("sound"))
