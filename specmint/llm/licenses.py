@@ -112,3 +112,29 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+def _oracle() -> str:
+    kinds = [(label, words.split(), True) for label, words in PHRASES] + [(label, words.split(), False) for label, words in NOTICES]
+    text = lambda row: "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).upper() for v in row) + ")"
+    grams = ", ".join(text((k, i, *words[i : i + GRAM])) for k, (_, words, _) in enumerate(kinds) for i in range(len(words) - GRAM + 1))
+    names = ", ".join(text((k, label, len(words) - GRAM + 1, base)) for k, (label, words, base) in enumerate(kinds))
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS g0, unnest(ws[2:]) AS g1, unnest(ws[3:]) AS g2 FROM w),
+t(template, off, g0, g1, g2) AS (VALUES {grams}),
+k(template, label, whole, phrase) AS (VALUES {names}),
+d AS (SELECT doc_id, template, pos - off AS diagonal, count(*) AS votes FROM p JOIN t USING (g0, g1, g2) GROUP BY ALL),
+l AS (SELECT d.*, label, whole, phrase, CASE WHEN phrase OR diagonal - lag(diagonal) OVER o > {SLACK} THEN 1 ELSE 0 END AS apart FROM d JOIN k USING (template) WINDOW o AS (PARTITION BY doc_id, d.template ORDER BY diagonal)),
+i AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM l),
+s AS (SELECT doc_id, template, island, any_value(label) AS label, any_value(phrase) AS phrase, min(diagonal) AS start, least(1.0, CAST(sum(votes) AS DOUBLE) / any_value(whole)) AS coverage FROM i GROUP BY doc_id, template, island),
+f AS (SELECT doc_id, count(CASE WHEN phrase AND coverage = 1 THEN 1 END) AS n_base, min(CASE WHEN phrase AND coverage = 1 THEN start END) AS first_word, max(CASE WHEN phrase AND coverage = 1 THEN start END) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE phrase AND coverage = 1))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE CASE WHEN phrase THEN coverage = 1 ELSE coverage >= {COVERAGE} END))), ',') AS labels, max(coverage) AS score FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM w LEFT JOIN f ON w.doc_id = f.doc_id
+"""
+
+
+OP1_SQL = _oracle()

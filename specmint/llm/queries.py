@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specmint.llm.decontaminate import op4_decontaminate
 from specmint.llm.langid import op5_language_id
-from specmint.llm.licenses import op1_license_scan
+from specmint.llm.licenses import OP1_SQL, op1_license_scan
 from specmint.llm.line_dedup import OP6_SQL, op6_line_dedup
 from specmint.llm.masked_lm import op8_lm_scoring
 from specmint.llm.mixing import op3_mixing
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op1_license_scan": OP1_SQL, "op6_line_dedup": OP6_SQL}
