@@ -55,6 +55,31 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     return rows.select("source", "source_size", F.least(F.col("weight") * F.lit(rate), F.col("top")).alias("target"))
 
 
+def document_size(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def document_place(doc_id: Column) -> Column:
+    """A document's fixed place among all: the leading bits of a hash of its id."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), doc_id.cast("string")), 64 - LEVEL_BITS * LEVELS)
+
+
+def thresholds(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(s, source_size, target, whole, threshold) per source of rows (source, size, place)."""
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    state = goal.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    state = materialize(state.withColumn("prefix", F.lit(0).cast("long")), "mix-state")
+    for level in range(LEVELS):
+        state = materialize(_refine(rows, state, level), "mix-state")
+    return state.select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("prefix").alias("threshold"))
+
+
+def compact(docs: DataFrame) -> DataFrame:
+    """What the mix needs of every row, written once so that texts are read once."""
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), document_size().alias("size"), document_place(F.col("doc_id")).alias("place")), "mix-rows")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) per input row.
 
@@ -70,18 +95,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     repeat a doc_id share a hash and are taken together; a null doc_id hashes too.
     Empty input, empty result; other columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    top = LEVEL_BITS * LEVELS
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string")), 64 - top)
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), place.alias("place")), "mix-rows")
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    state = goal.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    state = materialize(state.withColumn("prefix", F.lit(0).cast("long")), "mix-state")
-    for level in range(LEVELS):
-        state = materialize(_refine(rows, state, level), "mix-state")
-    keep = state.select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("prefix").alias("threshold"))
-    joined = rows.join(keep, rows["source"].eqNullSafe(F.col("s")))
+    rows = compact(docs)
+    keep = thresholds(rows, weights, share, most)
+    joined = rows.join(keep, rows["source"].eqNullSafe(keep["s"]))
     copies = F.col("whole") + (F.col("place") < F.col("threshold")).cast("int")
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
@@ -116,10 +132,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each row as many times as the mix takes it (0, 1 or 2)."""
-    plan = mix(docs)
-    chosen = plan.where("copies > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source")).agg(F.max("copies").alias("m_copies"))
-    chosen = materialize(chosen, "mix-chosen")
-    same = docs["doc_id"].cast("long").eqNullSafe(chosen["m_id"]) & docs["source"].cast("string").eqNullSafe(chosen["m_source"])
-    each = F.explode(F.sequence(F.lit(1), chosen["m_copies"])).alias("_mix_copy")
-    return docs.join(chosen, same).select(*(docs[c] for c in docs.columns), each).drop("_mix_copy")
+    """Pipeline stage: each row as many times as the mix takes it (0, 1 or 2).
+
+    Rows meet their source's threshold, a table with a row per source, and decide for
+    themselves; texts are moved only where that table is too large to broadcast.
+    """
+    keep = thresholds(compact(docs))
+    copies = keep["whole"] + (document_place(docs["doc_id"]) < keep["threshold"]).cast("int")
+    taken = docs.join(keep, docs["source"].cast("string").eqNullSafe(keep["s"])).where(copies > 0)
+    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias("_mix_copy")).drop("_mix_copy")
