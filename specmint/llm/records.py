@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmint.llm.common import table
+from specmint.llm.common import slices, table
 from specmint.storage import materialize, new_path
 
 MASK_DELTA = 0xA282EAD8
@@ -72,70 +72,78 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges over it, so a text's ids are
     those of its blank-separated pieces in order. A piece of letters followed by
-    full stops or commas splits once more, as the pre-tokenizer does. The caches
-    are emptied when they reach `limit` entries: that costs time, never a result.
+    full stops or commas splits once more, as the pre-tokenizer does. Lower-case ASCII
+    words go straight to the library's BPE model; other words of letters are encoded
+    many to a call; anything else is encoded alone. Beyond `limit` entries the caches
+    take no more: that costs time, never a result.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.limit = limit
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.pieces: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _pack(self, ids: Iterable[int]) -> bytes:
-        return np.asarray(list(ids), self.dtype).tobytes()
+    def _letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of letters, non-ASCII ones included: one pre-token each, or else encoded alone."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.asarray(got.ids, self.dtype), np.asarray(got.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+            if len(owner) and owner[-1] + 1 == len(part):
+                yield from ((w, ids[cuts[i] : cuts[i + 1]].tobytes()) for i, w in enumerate(part))
+            else:
+                yield from self._alone(part)
+
+    def _alone(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for piece, got in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
+            yield piece, np.asarray(got.ids, self.dtype).tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.pieces) + len(missing) > self.limit:
-            self.pieces.clear()
-        if len(self.cores) + len(missing) > self.limit:
-            self.cores.clear()
-        split, plain, odd = {}, set(), set()
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache lacks."""
+        split, cores, plain, letters, odd = {}, self.cores, set(), set(), set()
         for piece in missing:
             core = piece.rstrip(".,")
-            if core.isascii() and core.isalpha():
-                split[piece] = core.lower(), piece[len(core) :]
-                plain.add(split[piece][0])
-                if piece[len(core) :]:
-                    odd.add(piece[len(core) :])
+            if core.isalpha():
+                tail = piece[len(core) :]
+                if tail:
+                    odd.add(tail)
+                if core.isascii():
+                    core = core.lower()
+                    if core not in cores:
+                        plain.add(core)
+                elif core not in cores:
+                    letters.add(core)
+                split[piece] = core, tail
             else:
                 odd.add(piece)
-        plain = [w for w in plain if w not in self.cores]
-        if plain:
-            # One pre-token per word: the library encodes them all in one call and names each id's word.
-            for at in range(0, len(plain), 4096):
-                part = plain[at : at + 4096]
-                got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-                ids, words = np.asarray(got.ids, self.dtype), np.asarray(got.word_ids)
-                cuts = np.searchsorted(words, np.arange(len(part) + 1))
-                self.cores.update((w, ids[cuts[i] : cuts[i + 1]].tobytes()) for i, w in enumerate(part))
-        odd = [w for w in odd if w not in self.pieces]
-        for piece, got in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
-            self.pieces[piece] = self._pack(got.ids)
-        for piece, (core, tail) in split.items():
-            self.pieces[piece] = self.cores[core] + (self.pieces[tail] if tail else b"")
-
-    def encode(self, text: str | None) -> bytes:
-        words = text.split() if text else []
-        pieces = self.pieces
-        try:
-            return b"".join([pieces[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            missing = [w for w in set(part) if w not in pieces]
-            if missing:
-                kept = {w: pieces[w] for w in set(part) if w in pieces}
-                self._learn(missing)
-                pieces.update(kept)
-            out += [pieces[w] for w in part]
-        return b"".join(out)
+        tokenize, dtype = self.model.tokenize, self.dtype
+        known = {w: np.array([t.id for t in tokenize(w)], dtype).tobytes() for w in plain}
+        known.update(self._letters(sorted(letters)))
+        alone = dict(self._alone(sorted(odd)))
+        if len(cores) < self.limit:
+            cores.update(known)
+        alone.update((p, (known.get(c) or cores[c]) + (alone[t] if t else b"")) for p, (c, t) in split.items())
+        if len(self.pieces) < self.limit:
+            self.pieces.update(alone)
+        return alone
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; what the cache lacks is learned for all of them at once."""
+        words = [t.split() if t else [] for t in texts]
+        got = [list(map(self.pieces.get, w)) for w in words]
+        lacking = [i for i, g in enumerate(got) if None in g]
+        if lacking:
+            new = self._learn({w for i in lacking for w, b in zip(words[i], got[i], strict=True) if b is None})
+            for i in lacking:
+                got[i] = [new[w] if b is None else b for w, b in zip(words[i], got[i], strict=True)]
+        return [b"".join(g) for g in got]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -172,16 +180,16 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
         end = np.asarray([end_id], enc.dtype).tobytes()
         offsets, at, tokens, out = [], 0, 0, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}.rec")
-                ids = enc.encode(text.as_py()) + end
-                framed = record(doc_id, ids, enc.wide)
-                out.write(framed)
-                offsets.append(at)
-                at += len(framed)
-                tokens += len(ids) // enc.dtype.itemsize
+            if out is None and batch.num_rows:
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(f"{root}/{name}.rec")
+            for some in slices(batch):
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+                    framed = record(doc_id, ids + end, enc.wide)
+                    out.write(framed)
+                    offsets.append(at)
+                    at += len(framed)
+                    tokens += len(ids) // enc.dtype.itemsize + 1
         if out is None:
             return
         out.close()
