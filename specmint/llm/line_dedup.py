@@ -40,7 +40,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     dropped = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
     dropped = materialize(dropped, "lines-dropped").select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), "drop")
     joined = rows.join(dropped, (rows["doc_id"] == F.col("d_id")) & (F.xxhash64(rows["text"]) == F.col("d_hash")), "left")
-    every = lines_of(F.col("text"))
+    # A column of its own: an array that a lambda names would be split anew for each of its elements.
+    joined = joined.select("doc_id", "text", "drop", lines_of(F.col("text")).alias("every"))
+    every = F.col("every")
     # array_except hashes both sides, so a long text with many dropped lines stays linear.
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("drop")))
     kept = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(every, i)), "\n"))
