@@ -19,20 +19,29 @@ PENALTY = 0.002
 THRESHOLD = 0.7
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text as JVM expressions; null is the empty text, and every ratio of nothing is 0."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.array_remove(F.split(t, r"[\x20\x09-\x0D]+", -1), "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x) != "")
-    n_words, n_chars = F.size(words), F.char_length(t)
+STATISTICS = ("log_words", "word_length", "symbols", "capitals", "digits", "exclaims", "stops", "distinct_words", "repeats", "short_words", "line_words", "same_lines")
+
+
+def statistics(docs: DataFrame, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """`keep` and the STATISTICS of whole texts as JVM expressions; null is the empty text, ratios of nothing are 0.
+
+    Words and lines are columns of their own: an array that a lambda names would be made anew
+    for each of its elements, which is quadratic on long texts.
+    """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(*keep, t.alias("_t"), F.array_remove(F.split(t, r"[\x20\x09-\x0D]+", -1), "").alias("_words"), F.filter(F.split(t, "\n", -1), lambda x: F.trim(x) != "").alias("_lines"))
+    rows = rows.select(*keep, "_t", "_words", "_lines", F.size("_words").alias("_n"), F.char_length("_t").alias("_chars"))
+    words, lines, n_words, n_chars = F.col("_words"), F.col("_lines"), F.col("_n"), F.col("_chars")
+    fewer = F.greatest(n_words - 1, F.lit(0))
+    equal = F.zip_with(F.slice(words, F.lit(1), fewer), F.slice(words, F.lit(2), fewer), lambda a, b: a == b)
 
     def over(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
 
     def share(pattern: str) -> Column:
-        return over(F.regexp_count(t, F.lit(pattern)), n_chars)
+        return over(F.regexp_count("_t", F.lit(pattern)), n_chars)
 
-    return {
+    values = {
         "log_words": F.log1p(n_words.cast("double")),
         "word_length": over(F.char_length(F.array_join(words, "")), n_words),
         "symbols": share(r"[#*$%&|<>]"),
@@ -41,11 +50,12 @@ def statistics(text: Column) -> dict[str, Column]:
         "exclaims": share(r"[!?]"),
         "stops": share(r"[.,;:]"),
         "distinct_words": over(F.size(F.array_distinct(words)), n_words),
-        "repeats": over(F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1)))), n_words),
+        "repeats": over(F.size(F.filter(equal, lambda e: e)), n_words),
         "short_words": over(F.size(F.filter(words, lambda w: F.char_length(w) <= 3)), n_words),
         "line_words": over(n_words, F.size(lines)),
         "same_lines": over(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
     }
+    return rows.select(*keep, *(values[name].alias(name) for name in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -186,10 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col(target).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("l_id")))
     sample = usable.groupBy("l_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
-    names = list(statistics(F.lit("")))
+    names = list(STATISTICS)
     texts = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(sample), "l_id")
-    got = found.select("l_id", "y", *(c.alias(n) for n, c in statistics(F.col("text")).items())).toPandas()
+    got = statistics(texts.join(F.broadcast(sample), "l_id"), ("l_id", "y")).toPandas()
     got = got.sort_values(["l_id", *names]).reset_index(drop=True)
     return fit(got[names].to_numpy(float), got["y"].to_numpy(float), names)
 
@@ -200,7 +209,8 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     Null and empty texts are scored by their zero statistics; a null doc_id counts as held
     out; repeated rows agree; very long texts are read whole. Empty input, empty result.
     """
-    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *(c.alias(n) for n, c in statistics(F.col("text")).items()))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    stats = statistics(source, ("doc_id", "held_out"))
     out = stats.select("doc_id", "held_out", model.column().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

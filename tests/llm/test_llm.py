@@ -347,9 +347,8 @@ def test_rule_ensemble(spark, empty, labels):
     assert len(out) == 183 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
     held = [r for r in out if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 5000]
     assert len(held) > 20 and sum(r["predicted"] == (r["doc_id"] < 1000) for r in held) >= 0.95 * len(held)
-    names = list(rule_ensemble.statistics(F.lit("")))
-    stats = frame.select("doc_id", *(c.alias(n) for n, c in rule_ensemble.statistics(F.col("text")).items())).toPandas()
-    assert np.allclose(np.sort([r["score"] for r in out]), np.sort(model.predict(stats[names].to_numpy(float))))
+    stats = rule_ensemble.statistics(frame, ("doc_id",)).toPandas()
+    assert np.allclose(np.sort([r["score"] for r in out]), np.sort(model.predict(stats[list(rule_ensemble.STATISTICS)].to_numpy(float))))
     assert {r["score"] for r in rule_ensemble.score(frame, rule_ensemble.train(frame, marks.limit(0))).collect()} == {0.5}
     assert rule_ensemble.score(empty, rule_ensemble.train(empty, labels)).count() == 0
 
