@@ -19,8 +19,7 @@ VOCAB = CLASSES * MEMBERS
 EDGE = VOCAB
 WIDTH = 32
 OFFSETS = (-2, -1, 1, 2)
-#: One position in STRIDE of every text is trained on in each round.
-STRIDE = 8
+#: The rounds share the positions out: together they train on every word of every text once.
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.05
@@ -56,8 +55,10 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x = x - x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 class Network:
@@ -91,8 +92,10 @@ class Network:
             h = h + self.p["e"][j][context[:, j]]
         return np.tanh(h)
 
-    def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log-probability of every target given its neighbours."""
+    def log_prob(self, context: np.ndarray, target: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+        """Natural log-probability of every target given its neighbours, in blocks that fit the cache."""
+        if len(target) > block:
+            return np.concatenate([self.log_prob(context[i : i + block], target[i : i + block], block) for i in range(0, len(target), block)])
         h = self.hidden(context)
         cls, member = target // MEMBERS, target % MEMBERS
         rows = np.arange(len(target))
@@ -116,30 +119,46 @@ class Network:
 
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
         """One adaptive gradient step on a batch."""
+        # In order of class the members of a class are one run of rows, so only the products need a loop.
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        context, target = context[order], target[order]
         n, h = len(target), self.hidden(context)
         cls, member = target // MEMBERS, target % MEMBERS
+        rows = np.arange(n)
         g = _softmax(h @ self.p["wc"] + self.p["bc"])
-        g[np.arange(n), cls] -= 1
+        g[rows, cls] -= 1
         g /= n
         dh = g @ self.p["wc"].T
         self._step("wc", slice(None), h.T @ g)
         self._step("bc", slice(None), g.sum(axis=0))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in np.nonzero(np.diff(cuts))[0]:
-            own = order[cuts[c] : cuts[c + 1]]
-            g = _softmax(h[own] @ self.p["wm"][c] + self.p["bm"][c])
-            g[np.arange(len(own)), member[own]] -= 1
-            g /= n
-            dh[own] += g @ self.p["wm"][c].T
-            self._step("wm", c, h[own].T @ g)
-            self._step("bm", c, g.sum(axis=0))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        present = [c for c, _ in runs]
+        wm, y = self.p["wm"], np.empty((n, MEMBERS), np.float32)
+        for c, own in runs:
+            np.matmul(h[own], wm[c], out=y[own])
+        y += self.p["bm"][cls]
+        g = _softmax(y)
+        g[rows, member] -= 1
+        g /= n
+        dw = np.empty((len(runs), WIDTH, MEMBERS), np.float32)
+        for k, (c, own) in enumerate(runs):
+            dh[own] += g[own] @ wm[c].T
+            np.matmul(h[own].T, g[own], out=dw[k])
+        self._step("wm", present, dw)
+        self._step("bm", present, np.add.reduceat(g, [own.start for _, own in runs], axis=0))
         dz = dh * (1 - h * h)
         self._step("b", slice(None), dz.sum(axis=0))
-        for j in range(len(OFFSETS)):
-            order = np.argsort(context[:, j], kind="stable")
-            words, first = np.unique(context[order, j], return_index=True)
-            self._step("e", (j, words), np.add.reduceat(dz[order], first, axis=0))
+        # Every offset's words are keys of their own; 16-bit keys are sorted by radix.
+        keys = (context + np.arange(len(OFFSETS)) * (VOCAB + 1)).T.astype(np.uint16).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
+        at, grad = keys[first].astype(np.int64), np.add.reduceat(dz[order % n], first, axis=0)
+        e, seen = self.p["e"].reshape(-1, WIDTH), self.seen["e"].reshape(-1, WIDTH)
+        sums = seen[at] + grad * grad
+        seen[at] = sums
+        e[at] -= RATE * grad / np.sqrt(sums)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
@@ -180,7 +199,12 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return got if len(got) else np.zeros(VOCAB)
 
 
-def train_round(texts: DataFrame, network: Network, turn: int) -> Network:
+def turn_positions(n: int, turn: int, rounds: int) -> np.ndarray:
+    """Positions of a text of n words that are targets in this turn; each is a target in one of the rounds."""
+    return np.arange((n + turn) % rounds, n, rounds)
+
+
+def train_round(texts: DataFrame, network: Network, turn: int, rounds: int = ROUNDS) -> Network:
     """Every task trains a copy on its share of all texts; the copies' mean, weighed by positions, is the result.
 
     Copies leave the tasks in chunks and meet in a tree of sums: what is gathered
@@ -211,7 +235,7 @@ def train_round(texts: DataFrame, network: Network, turn: int) -> Network:
                 for text in some.column(0).to_pylist():
                     ids = words.ids(text)
                     if len(ids):
-                        at = np.arange((len(ids) + turn * STRIDE // ROUNDS) % STRIDE, len(ids), STRIDE)
+                        at = turn_positions(len(ids), turn, rounds)
                         waiting.append((contexts(ids, at), ids[at]))
                         held += len(at)
                 learn(32 * BATCH)
@@ -230,11 +254,11 @@ def train_round(texts: DataFrame, network: Network, turn: int) -> Network:
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """Corpus counts of all words, then rounds of data-parallel training over all rows."""
+    """Corpus counts of all words, then rounds of data-parallel training over every position of all rows."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     network = Network.initial(word_counts(texts))
     for turn in range(rounds):
-        network = train_round(texts, network, turn)
+        network = train_round(texts, network, turn, rounds)
     return network
 
 

@@ -334,6 +334,19 @@ def test_training_helps_held_out_text(spark):
     assert masked_lm.document_log_prob(network, ids) > masked_lm.document_log_prob(plain, ids)
 
 
+def test_rounds_train_on_every_position(spark):
+    for rounds in (1, masked_lm.ROUNDS, 5):
+        for n in range(20):
+            assert sorted(np.concatenate([masked_lm.turn_positions(n, k, rounds) for k in range(rounds)])) == list(range(n))
+    for text in ("alpha", "alpha beta", "alpha beta gamma"):
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        plain = masked_lm.Network.initial(masked_lm.word_counts(frame.select("text")))
+        got, ids = masked_lm.train(frame), masked_lm.Words().ids(text)
+        for k in range(len(ids)):
+            context = masked_lm.contexts(ids, np.array([k]))
+            assert got.log_prob(context, ids[k : k + 1])[0] > plain.log_prob(context, ids[k : k + 1])[0]
+
+
 # ---- quality classifier -----------------------------------------------------------------------------------
 
 
