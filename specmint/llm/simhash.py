@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmint.llm.common import map_batches, table
+from specmint.llm.shingle_join import similar_texts
 from specmint.operators.components import connected_components
 from specmint.storage import materialize
 
@@ -103,12 +104,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each component stays.
+    """Pipeline stage: one row of each component of `similar_texts` stays.
 
     It is the row with the smallest doc_id (nulls last); among rows that repeat
     that doc_id the one whose text hash is smallest, and one of identical rows.
     """
-    found = materialize(near_duplicates(docs).select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key")), "neardup")
+    found = materialize(similar_texts(docs).select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key")), "neardup")
     keys = found.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"))
     chosen = found.groupBy("component").agg(F.min("key").alias("best"))
     judged = keys.join(chosen, "component").select(F.col("key.doc_id").alias("k_id"), F.col("key.text_hash").alias("k_hash"), "n", F.col("key").eqNullSafe(F.col("best")).alias("stays"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from specmint.llm import decontaminate, langid, licenses, line_dedup, masked_lm, mixing, quality_rules, records, rule_ensemble, simhash
+from specmint.llm import decontaminate, langid, licenses, line_dedup, masked_lm, mixing, quality_rules, records, rule_ensemble, shingle_join, simhash
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, y int, key string, size long, m_id long, l_id long, component long, words string"
@@ -416,6 +416,49 @@ def test_links_equal_brute_force(spark):
     assert got == {(min(signed(a), signed(b)), max(signed(a), signed(b))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
 
 
+def slow_similar(texts):
+    words = [(t or "").translate(UPPER).split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_similar_texts_equal_brute_force(spark, docs, empty):
+    r = random.Random(12)
+    texts = [t for _, t, *_ in ROWS if t is None or len(t) < 10_000]
+    for n in (4, 5, 6, 9, 40, 120):
+        for _ in range(4):
+            base = [f"w{r.randrange(900)}" for _ in range(n)]
+            for _ in range(12):
+                copy = list(base)
+                for k in r.sample(range(n), min(n, r.randrange(1, 1 + max(1, n // 20)))):
+                    copy[k] = f"v{r.randrange(900)}"
+                texts.append(" ".join([*copy, *["tail"] * r.randrange(3)]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component"] for x in shingle_join.similar_texts(frame).collect()}
+    want = slow_similar(texts)
+    assert len({(got[i], want[i]) for i in got}) == len(set(want)) == len(set(got.values())) < len(texts)
+    assert shingle_join.similar_texts(docs).count() == len(ROWS) and shingle_join.similar_texts(empty).count() == 0
+
+
+def test_stage_removes_copies_beyond_four_bits(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(30):
+        words = [f"w{r.randrange(5000)}" for _ in range(200)]
+        copy = list(words)
+        for k in r.sample(range(5, 195), 3):
+            copy[k] = "other"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in simhash.drop_near_duplicates(spark, frame, "").collect()} == set(range(0, 60, 2))
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------
 
 
