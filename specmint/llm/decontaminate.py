@@ -101,6 +101,18 @@ def windows(canon: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
+def value_windows(values: np.ndarray, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of all windows of `length` words as they stand, placeholders or not."""
+    n = len(values) - length + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(n, length, np.uint64)
+    for j in range(length):
+        h = (h ^ values[j : j + n]) * _STEP
+        h ^= h >> np.uint64(29)
+    return np.arange(n), h
+
+
 @dataclass
 class Index:
     """Windows of one block of benchmark items, by sorted hash."""
@@ -113,17 +125,23 @@ class Index:
     canon: list[np.ndarray]
     kinds: list[np.ndarray]
     values: list[np.ndarray]
+    #: Lengths of the value windows: WINDOW, and those of the items that are shorter.
+    lengths: list[int]
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
     canon = Canon()
-    ids, cs, ks, vs, hs, which, pos = [], [], [], [], [], [], []
+    ids, cs, ks, vs, hs, which, pos, lengths = [], [], [], [], [], [], [], set()
     for item_id, text in items:
         c, k, v = canon.template(text)
-        at, h = windows(c, k)
-        hs.append(h)
-        pos.append(at)
-        which.append(np.full(len(at), len(ids), np.int32))
+        if not len(c):
+            continue
+        length = min(WINDOW, len(v))
+        lengths.add(length)
+        for at, h in (windows(c, k), value_windows(v, length)):
+            hs.append(h)
+            pos.append(at)
+            which.append(np.full(len(at), len(ids), np.int32))
         ids.append(item_id)
         cs.append(c)
         ks.append(k)
@@ -133,28 +151,29 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     bits = max(16, int(len(h) * 16).bit_length())
     seen = np.zeros(1 << min(bits, 26), bool)
     seen[h & np.uint64(len(seen) - 1)] = True
-    return Index(h[order], w[order], p[order], seen, ids, cs, ks, vs)
+    return Index(h[order], w[order], p[order], seen, ids, cs, ks, vs, sorted(lengths))
 
 
 def matches(index: Index, canon: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> list[tuple[int, float, int]]:
     """(item_id, share of the item's words covered, slots that differ) of the items found in a text."""
-    at, h = windows(canon, kinds)
+    sought = [windows(canon, kinds), *(value_windows(values, length) for length in index.lengths)]
+    at, h = (np.concatenate(x) for x in zip(*sought, strict=True))
     near = index.filter[h & np.uint64(len(index.filter) - 1)]
     at, h = at[near], h[near]
     left, right = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
     hit = np.nonzero(right > left)[0]
     if not len(hit):
         return []
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for i in hit:
         for e in range(left[i], right[i]):
-            found[int(index.item[e])].append((int(at[i]) - int(index.pos[e]), int(index.pos[e])))
+            found[int(index.item[e])].add((int(at[i]) - int(index.pos[e]), int(index.pos[e])))
     out = []
-    for k, votes in found.items():
+    for k, met in found.items():
+        votes = sorted(met)
         if len({p for _, p in votes}) + WINDOW - 1 < COVERAGE * len(index.canon[k]) / 2:
             continue
         best, slots = 0.0, 0
-        votes.sort()
         group: list[tuple[int, int]] = []
         for vote in [*votes, (1 << 62, 0)]:
             if group and vote[0] - group[-1][0] > 3:
@@ -183,11 +202,11 @@ def _judge(index: Index, k: int, group: list[tuple[int, int]], canon: np.ndarray
     votes = Counter(diagonal for diagonal, _ in group)
     main = min(votes, key=lambda v: (-votes[v], v))
     for diagonal, p in sorted(group, key=lambda v: (v[0] != main, v)):
-        span = slice(p, p + WINDOW)
-        there = slice(diagonal + p, diagonal + p + WINDOW)
-        if not np.array_equal(own_canon[span], canon[there]):
+        span = slice(p, min(p + WINDOW, len(own_canon)))
+        there = slice(diagonal + span.start, diagonal + span.stop)
+        if not np.array_equal(own_canon[span], canon[there]) and not np.array_equal(own_values[span], values[there]):
             continue
-        pairs = [(int(own_kinds[i]), int(own_values[i]), int(values[diagonal + i])) for i in range(p, p + WINDOW) if own_kinds[i] != LITERAL]
+        pairs = [(int(own_kinds[i]), int(own_values[i]), int(values[diagonal + i])) for i in range(span.start, span.stop) if own_kinds[i] != LITERAL]
         if any(forth.get((kind, a), b) != b or back.get((kind, b), a) != a for kind, a, b in pairs):
             if diagonal == main:
                 return 0.0, 0
@@ -206,14 +225,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK
     An item counts as found when windows on neighbouring diagonals, with consistent
     slots, cover COVERAGE of its words. The benchmark is read in blocks of at most
     about `block_windows` windows, each indexed, broadcast and matched against all rows.
-    Items under WINDOW words, empty or null, match nothing. Items of equal text are
+    Windows match as templates if they have LITERALS literal words, and as they stand in any
+    case; an item under WINDOW words is one window that matches only as it stands. Items
+    without words or null match nothing. Items of equal text are
     matched once, under their smallest item_id. Rows with null text match nothing.
     """
     spark = docs.sparkSession
     items = benchmark.where("text is not null").groupBy(F.col("text").alias("item")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     items = materialize(items.where("item_id is not null"), "bench-items")
     words = items.agg(F.sum(F.regexp_count("item", F.lit(r"\S+")))).first()[0] or 0
-    n_blocks = max(1, -(-int(words) // block_windows))
+    # A word begins a template window and one as it stands.
+    n_blocks = max(1, -(-2 * int(words) // block_windows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = None
     for block in range(n_blocks):

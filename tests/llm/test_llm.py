@@ -212,6 +212,14 @@ def test_windows_equal_plain_search(spark):
     assert want and want <= {(r["doc_id"], r["item_id"]) for r in leaks}
 
 
+def test_exact_copies_are_found_whatever_their_words(spark):
+    items = ["Calculate 45 + 67 - 12 * 3 and 9.", "Solve 3x + 5 = 20 for x.", "Which Of These Cities Is The Capital Of France?", "Welche Stadt liegt am Rhein: Köln, Berlin, Hamburg, Dresden oder Leipzig?", "Name three rivers"]
+    texts = [f"{prose('en', 9)} and {item} {prose('en', 9)}" for item in items]
+    frame = spark.createDataFrame([*enumerate(texts), (9, "Calculate 46 + 68 - 13 * 4 and 8. Name three big rivers")], "doc_id long, text string")
+    leaks = decontaminate.find_leaks(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks} == {(i, i, 1.0) for i in range(5)}
+
+
 # ---- languages -----------------------------------------------------------------------------------
 
 
