@@ -191,31 +191,52 @@ def _judge(index: Index, k: int, group: list[tuple[int, int]], canon: np.ndarray
     """Coverage of an item by the windows of neighbouring diagonals whose slots agree.
 
     Slots agree when each value of the item stands for one value of the text and the
-    other way round. The diagonal with most votes sets the pairs; a clash on it means another
-    question, so nothing is covered. On its neighbours a clash only refuses the window.
+    other way round. The diagonal with most votes sets the pairs: each position in its windows is a
+    vote, and a pair holds that has more votes than any other pair of either of its values. Windows
+    with another pair are refused, here and on the neighbours, which may add pairs that don't clash.
+    A window that stands in the text word for word is covered whatever its slots.
     """
     own_canon, own_kinds, own_values = index.canon[k], index.kinds[k], index.values[k]
     covered = np.zeros(len(own_canon), bool)
-    forth: dict[tuple[int, int], int] = {}
-    back: dict[tuple[int, int], int] = {}
-    differ = set()
     votes = Counter(diagonal for diagonal, _ in group)
     main = min(votes, key=lambda v: (-votes[v], v))
+    placed: list[tuple[int, slice, bool, list[tuple[int, int, int]]]] = []
+    slots: dict[int, tuple[int, int, int]] = {}
     for diagonal, p in sorted(group, key=lambda v: (v[0] != main, v)):
         span = slice(p, min(p + WINDOW, len(own_canon)))
         there = slice(diagonal + span.start, diagonal + span.stop)
-        if not np.array_equal(own_canon[span], canon[there]) and not np.array_equal(own_values[span], values[there]):
+        same = np.array_equal(own_values[span], values[there])
+        if not same and not np.array_equal(own_canon[span], canon[there]):
             continue
-        pairs = [(int(own_kinds[i]), int(own_values[i]), int(values[diagonal + i])) for i in range(span.start, span.stop) if own_kinds[i] != LITERAL]
-        if any(forth.get((kind, a), b) != b or back.get((kind, b), a) != a for kind, a, b in pairs):
-            if diagonal == main:
-                return 0.0, 0
+        at = {i: (int(own_kinds[i]), int(own_values[i]), int(values[diagonal + i])) for i in range(span.start, span.stop) if own_kinds[i] != LITERAL}
+        placed.append((diagonal, span, same, list(at.values())))
+        if diagonal == main:
+            slots |= at
+    forth: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], int] = {}
+    counts = Counter(slots.values())
+    best: dict[tuple[bool, int, int], list[int]] = defaultdict(list)
+    for (kind, a, b), n in counts.items():
+        best[True, kind, a].append(n)
+        best[False, kind, b].append(n)
+    for (kind, a, b), n in counts.items():
+        if all(max(x) == n and x.count(n) == 1 for x in (best[True, kind, a], best[False, kind, b])):
+            forth[kind, a], back[kind, b] = b, a
+    differ = set()
+    for diagonal, span, same, pairs in placed:
+        if diagonal == main:
+            agree = all(forth.get((kind, a)) == b for kind, a, b in pairs)
+        else:
+            agree = all(forth.get((kind, a), b) == b and back.get((kind, b), a) == a for kind, a, b in pairs)
+        if not agree and not same:
+            continue
+        covered[span] = True
+        if not agree:
             continue
         for kind, a, b in pairs:
             forth[kind, a], back[kind, b] = b, a
             if a != b:
                 differ.add((kind, a))
-        covered[span] = True
     return float(covered.mean()), len(differ)
 
 

@@ -220,6 +220,15 @@ def test_exact_copies_are_found_whatever_their_words(spark):
     assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks} == {(i, i, 1.0) for i in range(5)}
 
 
+def test_one_slot_that_clashes_refuses_its_windows_only(spark):
+    item = "A farmer keeps 3 brown cows in the upper field near the old mill and every single morning he carries water to them before he walks back to the house, where he feeds 5 hens and then rests until the sun sets over the long hill behind 3 tall trees."
+    texts = {1: item.replace("3 brown", "4 brown"), 2: item.replace("3", "4").replace("5", "4"), 3: item.replace("3 tall", "7 tall").replace("3 brown", "6 brown"), 4: item.replace("3", "8"), 5: item[:100]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    leaks = decontaminate.find_leaks(frame, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in leaks} == {1, 2, 3, 4}
+    assert all(r["coverage"] == 1 for r in leaks if r["doc_id"] == 4)
+
+
 # ---- languages -----------------------------------------------------------------------------------
 
 
