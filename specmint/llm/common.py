@@ -59,8 +59,9 @@ def held_out(doc_id: Column) -> Column:
 def sum_vectors(parts: DataFrame, n_parts: int, fan_in: int = 16) -> DataFrame:
     """Add float64 vectors (key string, part int, vec binary) over their parts by a tree.
 
-    No group holds over `fan_in` rows, whatever the number of tasks; keys are
-    few and vectors of a fixed length, so the last level is small.
+    `n_parts` says how many parts to expect and so how deep the tree is: no group holds over
+    `fan_in` rows then. The last level takes all that is left of a key, so there is one row a key
+    even where the parts were more.
     """
     import numpy as np
 
@@ -70,9 +71,8 @@ def sum_vectors(parts: DataFrame, n_parts: int, fan_in: int = 16) -> DataFrame:
             total += np.frombuffer(v, dtype="<f8")
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "part": [int(pdf["part"].iloc[0]) // fan_in], "vec": [total.tobytes()]})
 
-    left = max(1, n_parts)
-    while True:
+    left = n_parts
+    while left > fan_in:
         parts = parts.groupBy("key", F.floor(F.col("part") / fan_in).alias("g")).applyInPandas(add, "key string, part int, vec binary")
         left = -(-left // fan_in)
-        if left <= 1:
-            return parts.select("key", "vec")
+    return parts.groupBy("key").applyInPandas(add, "key string, part int, vec binary").select("key", "vec")
