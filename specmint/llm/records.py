@@ -12,6 +12,7 @@ right by 15 bits plus a constant, so that checksums of data holding checksums st
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -67,15 +68,32 @@ def record(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return frame(_HEAD.pack(doc_id or 0, (doc_id is None) | 2 * wide) + ids)
 
 
+#: The normalizer and pre-tokenizer under which a text's ids are those of its blank-separated pieces.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: What str.split() takes for blanks and the tokenizer for symbols.
+_FALSE_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Letters below this are letters in every version of Unicode that a library may hold.
+_LATIN_END = "\u0250"
+
+
 class WordEncoder:
-    """Ids of whole texts, encoded by the tokenizers library piece by piece with a cache.
-
-    The tokenizer drops white space and never merges over it, so a text's ids are
-    those of its blank-separated pieces in order. A piece of letters followed by
-    full stops or commas splits once more, as the pre-tokenizer does. Lower-case ASCII
-    words go straight to the library's BPE model; other words of letters are encoded
-    many to a call; anything else is encoded alone. Beyond `limit` entries the caches
-    take no more: that costs time, never a result.
+    """Ids of whole texts, encoded by the tokenizers library, piece by piece with a cache where that is the same.
+
+    It is the same for a tokenizer that drops white space and never merges over it: its normalizer
+    and pre-tokenizer are read from its file and compared with the two above, and no added token may hold a
+    blank. Any other tokenizer gets whole texts, and so does a text with U+001C to U+001F, which only Python
+    takes for blanks. A piece of Latin letters followed by full stops or commas splits once more, as the
+    pre-tokenizer does, if what the normalizer makes of the letters is Latin letters alone. Lower-case ASCII
+    words go straight to the library's BPE model; other words of letters are encoded many to a call;
+    anything else is encoded alone. Beyond `limit` entries the caches take no more: that costs time,
+    never a result.
     """
 
     def __init__(self, path: str, limit: int = 300_000) -> None:
@@ -83,6 +101,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        blank = any(c.isspace() for t in spec["added_tokens"] for c in t["content"]) or any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        self.piecewise = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not blank
         self.limit = limit
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
@@ -105,16 +126,22 @@ class WordEncoder:
         for piece, got in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
             yield piece, np.asarray(got.ids, self.dtype).tobytes()
 
+    def _stay_letters(self, core: str) -> bool:
+        """Whether the normalizer leaves nothing but Latin letters; it may set a mark free that joins what follows."""
+        plain = self.tokenizer.normalizer.normalize_str(core)
+        return plain.isalpha() and max(plain) < _LATIN_END
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks."""
         split, cores, plain, letters, odd = {}, self.cores, set(), set(), set()
         for piece in missing:
             core = piece.rstrip(".,")
-            if core.isalpha():
+            ascii_core = core.isascii()
+            if core.isalpha() and (ascii_core or core in cores or core in letters or self._stay_letters(core)):
                 tail = piece[len(core) :]
                 if tail:
                     odd.add(tail)
-                if core.isascii():
+                if ascii_core:
                     core = core.lower()
                     if core not in cores:
                         plain.add(core)
@@ -136,14 +163,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; what the cache lacks is learned for all of them at once."""
-        words = [t.split() if t else [] for t in texts]
+        whole = [i for i, t in enumerate(texts) if t and (not self.piecewise or any(c in t for c in _FALSE_BLANKS))]
+        given = dict(zip(whole, (ids for _, ids in self._alone([texts[i] for i in whole])), strict=True)) if whole else {}
+        words = [t.split() if t and i not in given else [] for i, t in enumerate(texts)]
         got = [list(map(self.pieces.get, w)) for w in words]
         lacking = [i for i, g in enumerate(got) if None in g]
         if lacking:
             new = self._learn({w for i in lacking for w, b in zip(words[i], got[i], strict=True) if b is None})
             for i in lacking:
                 got[i] = [new[w] if b is None else b for w, b in zip(words[i], got[i], strict=True)]
-        return [b"".join(g) for g in got]
+        return [given[i] if i in given else b"".join(g) for i, g in enumerate(got)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -163,8 +192,9 @@ def encoder(path: str) -> WordEncoder:
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write every row's ids, in ascending doc_id order, and return the manifest.
 
-    Rows are range-partitioned by doc_id (nulls first; ties by text), one data file and
-    one index file per partition. File names carry a random part, and the manifest
+    Rows are range-partitioned by doc_id (nulls first), hash of the text and place in the input, so that
+    even rows without an id, or with one and the same, are spread; one data file and one index file
+    per partition. File names carry a random part, and the manifest
     names those of the attempt that Spark committed: a retried or speculative task
     leaves an unnamed file at worst, never a half-written one that is read.
     Columns: part int, data string, index string, n_records long, n_tokens long.
@@ -197,8 +227,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
             index.write(np.asarray([*offsets, at], "<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [f"{folder}/{name}.rec"], "index": [f"{folder}/{name}.idx"], "n_records": [len(offsets)], "n_tokens": [tokens]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "text_hash", "place"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(ordered.mapInArrow(run, "part int, data string, index string, n_records long, n_tokens long"), "records-manifest")
 
 
