@@ -6,23 +6,31 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmint.llm.common import slices, sum_vectors, table
+from specmint.storage import materialize
 
-#: Hashed vocabulary: CLASSES classes of MEMBERS word buckets each.
-CLASSES, MEMBERS = 64, 64
-VOCAB = CLASSES * MEMBERS
+#: Hashed vocabulary: the leaves of a tree with ARITY children a node and LEVELS levels.
+BITS, LEVELS = 4, 3
+ARITY = 1 << BITS
+VOCAB = ARITY**LEVELS
 #: Index of "beyond the text", which is context only.
 EDGE = VOCAB
 WIDTH = 32
-OFFSETS = (-2, -1, 1, 2)
-#: The rounds share the positions out: together they train on every word of every text once.
+#: Words on either side that predict a word.
+REACH = 3
+OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
+#: The rounds share the texts out: together they train on every word of every text once.
 ROUNDS = 2
-BATCH = 2048
-RATE = 0.05
+#: Words of a share, which one copy of the network is trained on, and the most shares; beyond them shares grow.
+SHARE_WORDS, MOST_SHARES = 1 << 22, 1 << 14
+#: Positions of a gradient step: a share makes about STEPS, none on more positions than MOST_BATCH.
+STEPS, LEAST_BATCH, MOST_BATCH = 512, 256, 4096
+RATE = 0.2
 _CHUNK = 1 << 16
 
 
@@ -43,261 +51,317 @@ class Words:
                     b = got[i] = zlib.crc32(words[i]) % VOCAB
                     if len(known) < self.limit:
                         known[words[i]] = b
-        return np.array(got, np.int32)
+        return np.array(got, np.uint16)
 
 
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(len(at), len(OFFSETS)) neighbours of the positions, EDGE beyond either end."""
-    reach = max(map(abs, OFFSETS))
-    padded = np.full(len(ids) + 2 * reach, EDGE, np.int32)
-    padded[reach : reach + len(ids)] = ids
-    return np.stack([padded[at + reach + o] for o in OFFSETS], axis=1)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def stream(texts: list[np.ndarray]) -> np.ndarray:
+    """Texts one after the other with REACH edges around each, so that no window sees a neighbour text."""
+    edge = np.full(REACH, EDGE, np.uint16)
+    return np.concatenate([edge, *(x for t in texts for x in (t, edge))])
 
 
 class Network:
-    """p(word | both sides) = p(class | h) p(word | class, h), h = tanh of the neighbours' summed vectors.
+    """p(word | both sides) is a product over the levels of a tree, softmaxes of h = tanh(b + sum of g_o * e[neighbour o]).
 
-    Every offset has vectors of its own, so left and right context differ.
+    Every word has one vector, and every offset a gate for it, so left and right context differ.
     """
 
-    SHAPES = {"e": (len(OFFSETS), VOCAB + 1, WIDTH), "b": (WIDTH,), "wc": (WIDTH, CLASSES), "bc": (CLASSES,), "wm": (CLASSES, WIDTH, MEMBERS), "bm": (CLASSES, MEMBERS)}
+    SHAPES = (
+        {"e": (VOCAB + 1, WIDTH), "g": (len(OFFSETS), WIDTH), "b": (WIDTH,)}
+        | {f"w{k}": (ARITY**k, WIDTH, ARITY) for k in range(LEVELS)}
+        | {f"c{k}": (ARITY**k, ARITY) for k in range(LEVELS)}
+    )
 
-    def __init__(self, params: dict[str, np.ndarray]) -> None:
+    def __init__(self, params: dict[str, np.ndarray], seen: dict[str, np.ndarray] | None = None) -> None:
         self.p = params
-        self.seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in params.items()}
+        #: Sums of squared gradients; they go with the parameters from round to round.
+        self.seen = seen or {k: np.full(v.shape, 1e-3, np.float32) for k, v in params.items()}
 
     @classmethod
     def initial(cls, counts: np.ndarray) -> Network:
         """Random small weights; output biases are the corpus's log frequencies."""
         rng = np.random.default_rng(11)
         p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in cls.SHAPES.items()}
-        freq = (counts + 0.5).reshape(CLASSES, MEMBERS)
+        p["g"] += 1
         p["b"][:] = 0
-        p["bc"] = np.log(freq.sum(axis=1) / freq.sum()).astype(np.float32)
-        p["bm"] = np.log(freq / freq.sum(axis=1, keepdims=True)).astype(np.float32)
-        p["wc"] *= 0.5
-        p["wm"] *= 0.5
+        freq = counts + 0.5
+        for k in range(LEVELS):
+            nodes = freq.reshape(ARITY**k, ARITY, -1).sum(axis=2)
+            p[f"c{k}"] = np.log(nodes / nodes.sum(axis=1, keepdims=True)).astype(np.float32)
+            p[f"w{k}"] *= 0.5
         return cls(p)
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.p["b"] + self.p["e"][0][context[:, 0]]
-        for j in range(1, len(OFFSETS)):
-            h = h + self.p["e"][j][context[:, j]]
-        return np.tanh(h)
-
-    def log_prob(self, context: np.ndarray, target: np.ndarray, block: int = 1 << 13) -> np.ndarray:
-        """Natural log-probability of every target given its neighbours, in blocks that fit the cache."""
-        if len(target) > block:
-            return np.concatenate([self.log_prob(context[i : i + block], target[i : i + block], block) for i in range(0, len(target), block)])
-        h = self.hidden(context)
-        cls, member = target // MEMBERS, target % MEMBERS
-        rows = np.arange(len(target))
-        z = h @ self.p["wc"] + self.p["bc"]
+    def _hidden(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors of the window's words, hidden units of all but its first and last REACH)."""
+        vectors = self.p["e"][window]
+        n = len(window) - 2 * REACH
+        h = np.empty((n, WIDTH), np.float32)
+        h[:] = self.p["b"]
+        for gate, o in zip(self.p["g"], OFFSETS, strict=True):
+            h += gate * vectors[REACH + o : REACH + o + n]
+        return vectors, np.tanh(h, out=h)
+
+    @staticmethod
+    def _targets(window: np.ndarray) -> np.ndarray:
+        """Places of the words to predict, edges left out, in order of the word: then a node's words are one run."""
+        t = window[REACH : len(window) - REACH]
+        places = np.nonzero(t < VOCAB)[0]
+        return places[np.argsort(t[places], kind="stable")]
+
+    def _level(self, k: int, h: np.ndarray, t: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """(runs of equal nodes, logits less their largest, child taken) at level k for words in order."""
+        node, child = t >> BITS * (LEVELS - k), t >> BITS * (LEVELS - k - 1) & ARITY - 1
+        cuts = np.searchsorted(node, np.arange(ARITY**k + 1)).tolist()
+        runs = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        w, z = self.p[f"w{k}"], np.empty((len(t), ARITY), np.float32)
+        for i, a, b in runs:
+            np.matmul(h[a:b], w[i], out=z[a:b])
+        z += self.p[f"c{k}"][node]
         z -= z.max(axis=1, keepdims=True)
-        out = (z[rows, cls] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                y = h[own] @ self.p["wm"][c] + self.p["bm"][c]
-                y -= y.max(axis=1, keepdims=True)
-                out[own] += y[np.arange(len(own)), member[own]] - np.log(np.exp(y).sum(axis=1))
+        return runs, z, child
+
+    def log_prob(self, texts: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+        """Natural log-probability of every word of a stream given its neighbours; 0 at the edges."""
+        out = np.zeros(len(texts))
+        for at in range(REACH, len(texts) - REACH, block):
+            window = texts[at - REACH : min(at + block, len(texts) - REACH) + REACH]
+            places = self._targets(window)
+            t, h = window[REACH + places].astype(np.int64), self._hidden(window)[1][places]
+            logs, rows = np.zeros(len(t), np.float32), np.arange(len(t))
+            for k in range(LEVELS):
+                _, z, child = self._level(k, h, t)
+                logs += z[rows, child] - np.log(np.exp(z).sum(axis=1))
+            out[at + places] = logs
         return out
 
     def _step(self, key: str, at, grad: np.ndarray) -> None:
-        seen = self.seen[key]
-        seen[at] += grad * grad
-        self.p[key][at] -= RATE * grad / np.sqrt(seen[at])
-
-    def train(self, context: np.ndarray, target: np.ndarray) -> None:
-        """One adaptive gradient step on a batch."""
-        # In order of class the members of a class are one run of rows, so only the products need a loop.
-        order = np.argsort(target.astype(np.uint16), kind="stable")
-        context, target = context[order], target[order]
-        n, h = len(target), self.hidden(context)
-        cls, member = target // MEMBERS, target % MEMBERS
-        rows = np.arange(n)
-        g = _softmax(h @ self.p["wc"] + self.p["bc"])
-        g[rows, cls] -= 1
-        g /= n
-        dh = g @ self.p["wc"].T
-        self._step("wc", slice(None), h.T @ g)
-        self._step("bc", slice(None), g.sum(axis=0))
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-        runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-        present = [c for c, _ in runs]
-        wm, y = self.p["wm"], np.empty((n, MEMBERS), np.float32)
-        for c, own in runs:
-            np.matmul(h[own], wm[c], out=y[own])
-        y += self.p["bm"][cls]
-        g = _softmax(y)
-        g[rows, member] -= 1
-        g /= n
-        dw = np.empty((len(runs), WIDTH, MEMBERS), np.float32)
-        for k, (c, own) in enumerate(runs):
-            dh[own] += g[own] @ wm[c].T
-            np.matmul(h[own].T, g[own], out=dw[k])
-        self._step("wm", present, dw)
-        self._step("bm", present, np.add.reduceat(g, [own.start for _, own in runs], axis=0))
-        dz = dh * (1 - h * h)
+        sums = self.seen[key][at] + grad * grad
+        self.seen[key][at] = sums
+        self.p[key][at] -= RATE * grad / np.sqrt(sums)
+
+    def train(self, window: np.ndarray) -> None:
+        """One adaptive gradient step on all words of a stream but its first and last REACH, which are context."""
+        places = self._targets(window)
+        m, n = len(places), len(window) - 2 * REACH
+        if not m:
+            return
+        vectors, hidden = self._hidden(window)
+        t, h = window[REACH + places].astype(np.int64), hidden[places]
+        dh, part, rows = np.zeros_like(h), np.empty_like(h), np.arange(m)
+        for k in range(LEVELS):
+            runs, z, child = self._level(k, h, t)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            z[rows, child] -= 1
+            z /= m
+            w, dw = self.p[f"w{k}"], np.empty((len(runs), WIDTH, ARITY), np.float32)
+            for j, (i, a, b) in enumerate(runs):
+                np.matmul(z[a:b], w[i].T, out=part[a:b])
+                np.matmul(h[a:b].T, z[a:b], out=dw[j])
+            dh += part
+            nodes = np.array([i for i, _, _ in runs])
+            self._step(f"w{k}", nodes, dw)
+            self._step(f"c{k}", nodes, np.add.reduceat(z, [a for _, a, _ in runs], axis=0))
+        dz = np.zeros((n, WIDTH), np.float32)
+        dz[places] = dh * (1 - h * h)
+        de, dg = np.zeros_like(vectors), np.empty((len(OFFSETS), WIDTH), np.float32)
+        for j, o in enumerate(OFFSETS):
+            there = slice(REACH + o, REACH + o + n)
+            de[there] += self.p["g"][j] * dz
+            dg[j] = np.einsum("ij,ij->j", vectors[there], dz)
         self._step("b", slice(None), dz.sum(axis=0))
-        # Every offset's words are keys of their own; 16-bit keys are sorted by radix.
-        keys = (context + np.arange(len(OFFSETS)) * (VOCAB + 1)).T.astype(np.uint16).ravel()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-        at, grad = keys[first].astype(np.int64), np.add.reduceat(dz[order % n], first, axis=0)
-        e, seen = self.p["e"].reshape(-1, WIDTH), self.seen["e"].reshape(-1, WIDTH)
-        sums = seen[at] + grad * grad
-        seen[at] = sums
-        e[at] -= RATE * grad / np.sqrt(sums)
+        self._step("g", slice(None), dg)
+        order = np.argsort(window, kind="stable")
+        words = window[order]
+        first = np.concatenate([[0], np.nonzero(np.diff(words))[0] + 1])
+        self._step("e", words[first], np.add.reduceat(de[order], first, axis=0))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
+        return np.concatenate([part[k].ravel() for part in (self.p, self.seen) for k in self.SHAPES])
 
     @classmethod
     def unflat(cls, v: np.ndarray) -> Network:
-        out, at = {}, 0
-        for k, s in cls.SHAPES.items():
-            size = int(np.prod(s))
-            out[k] = v[at : at + size].reshape(s).astype(np.float32)
-            at += size
-        return cls(out)
+        parts, at = [], 0
+        for _ in range(2):
+            parts.append({})
+            for k, s in cls.SHAPES.items():
+                size = int(np.prod(s))
+                parts[-1][k] = v[at : at + size].reshape(s).astype(np.float32)
+                at += size
+        return cls(*parts)
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, ids): 16-bit word buckets of every whole text, written once so that texts are read once.
 
+    `key` is a hash of doc_id and text, which deals the rows out alike however they are partitioned; rows
+    without a doc_id have any.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(own, F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for some in slices(batch, 2):
+                ids = [words.ids(t.as_py()).tobytes() for t in some.column(2)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
-def _chunks(name: str, v: np.ndarray, part: int) -> pa.RecordBatch:
-    pieces = [v[i : i + _CHUNK].astype("<f8").tobytes() for i in range(0, len(v), _CHUNK)]
-    return pa.RecordBatch.from_pydict({"key": [f"{name}{i:04d}" for i in range(len(pieces))], "part": pa.array([part] * len(pieces), pa.int32()), "vec": pieces})
+    return materialize(rows.mapInArrow(run, "doc_id long, key long, ids binary"), "lm-tokens")
 
 
-def _summed(parts: DataFrame, n_parts: int, name: str) -> np.ndarray:
-    rows = sorted((r["key"], r["vec"]) for r in sum_vectors(parts, n_parts).collect())
-    return np.concatenate([np.frombuffer(v, "<f8") for k, v in rows if k.startswith(name)] or [np.zeros(0)])
+def _ids(cells: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint16) for x in cells]
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the whole corpus."""
+def word_counts(rows: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the whole corpus (rows of `tokens`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, counts = Words(), np.zeros(VOCAB)
+        counts = np.zeros(VOCAB)
         for batch in batches:
             for some in slices(batch, 0):
-                counts += np.bincount(np.concatenate([words.ids(t) for t in some.column(0).to_pylist()]), minlength=VOCAB)
-        yield _chunks("n", counts, TaskContext.get().partitionId())
+                counts += np.bincount(np.concatenate(_ids(some.column(0))), minlength=VOCAB)
+        yield pa.RecordBatch.from_pydict({"key": ["n"], "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "vec": [counts.tobytes()]})
 
-    got = _summed(texts.mapInArrow(run, "key string, part int, vec binary"), texts.rdd.getNumPartitions(), "n")
-    return got if len(got) else np.zeros(VOCAB)
+    found = sum_vectors(rows.select("ids").mapInArrow(run, "key string, part int, vec binary"), rows.rdd.getNumPartitions()).collect()
+    return np.frombuffer(found[0]["vec"]).copy() if found else np.zeros(VOCAB)
 
 
-def turn_positions(n: int, turn: int, rounds: int) -> np.ndarray:
-    """Positions of a text of n words that are targets in this turn; each is a target in one of the rounds."""
-    return np.arange((n + turn) % rounds, n, rounds)
+def share_count(words: int) -> int:
+    """Shares of a corpus: its size decides, not its partitions."""
+    return max(1, min(MOST_SHARES, round(words / SHARE_WORDS)))
 
 
-def train_round(texts: DataFrame, network: Network, turn: int, rounds: int = ROUNDS) -> Network:
-    """Every task trains a copy on its share of all texts; the copies' mean, weighed by positions, is the result.
+def batch_size(words: float) -> int:
+    """Positions of a gradient step on a share of so many words."""
+    return int(min(MOST_BATCH, max(LEAST_BATCH, words // STEPS)))
 
-    Copies leave the tasks in chunks and meet in a tree of sums: what is gathered
-    grows with the input, what any task or the driver holds doesn't.
+
+class Trainer:
+    """Trains a copy of a network on texts that come one after the other, in batches over their stream."""
+
+    def __init__(self, network: Network, batch: int) -> None:
+        self.network, self.batch, self.trained = network, batch, 0
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, text: np.ndarray) -> None:
+        if len(text):
+            self.waiting.append(text)
+            self.held += len(text) + REACH
+            if self.held >= 32 * self.batch:
+                self.learn()
+
+    def learn(self) -> None:
+        """Train on the texts that wait; batches are of nearly equal size, so that none is a scrap."""
+        if not self.waiting:
+            return
+        texts, self.waiting, self.held = stream(self.waiting), [], 0
+        n = len(texts) - 2 * REACH
+        cuts = np.linspace(0, n, max(1, round(n / self.batch)) + 1).astype(int)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            self.network.train(texts[a : b + 2 * REACH])
+        self.trained += int(np.count_nonzero(texts < VOCAB))
+
+
+def mean_vectors(parts: DataFrame, n_parts: int, fan_in: int = 16) -> DataFrame:
+    """Means of float32 vectors (key string, part int, n double, vec binary) weighed by n, by a tree.
+
+    Groups are added in order of their parts, so the result doesn't depend on which task comes first.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(network.flat())
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        total = np.zeros(len(pdf["vec"].iloc[0]) // 4)
+        for n, v in zip(pdf["n"], pdf["vec"], strict=True):
+            total += n * np.frombuffer(v, "<f4")
+        n = float(pdf["n"].sum())
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "part": [int(pdf["part"].iloc[0]) // fan_in], "n": [n], "vec": [(total / n).astype("<f4").tobytes()]})
+
+    left = n_parts
+    while left > fan_in:
+        parts = parts.groupBy("key", F.floor(F.col("part") / fan_in).alias("g")).applyInPandas(mean, "key string, part int, n double, vec binary")
+        left = -(-left // fan_in)
+    return parts.groupBy("key").applyInPandas(mean, "key string, part int, n double, vec binary")
+
+
+def train_round(rows: DataFrame, network: Network, turn: int, words: float, rounds: int = ROUNDS) -> Network:
+    """A copy of the network is trained on each share of this round's texts; the copies' mean, weighed by words, is the result.
+
+    A share is chosen by a text's key and taken in order of the keys, so neither the shares nor the order
+    in them depend on partitions. Copies leave the tasks in chunks and meet in a tree of means: what is
+    gathered grows with the input, what any task or the driver holds doesn't.
+    """
+    shares = share_count(words)
+    batch = batch_size(words / shares / rounds)
+    shared = rows.sparkSession.sparkContext.broadcast(network.flat())
+    own = rows.where((F.octet_length("ids") > 0) & (F.pmod(F.shiftright("key", 32), F.lit(rounds)) == turn))
+    dealt = own.select(F.pmod("key", F.lit(shares)).cast("int").alias("share"), "key", "ids").repartitionById(shares, F.col("share")).sortWithinPartitions("share", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        share, trainer = -1, None
 
-        words, own, n = Words(), Network.unflat(shared.value), 0
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def learn(least: int) -> None:
-            nonlocal waiting, held, n
-            if held < max(1, least):
-                return
-            context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            order = np.random.default_rng(len(target)).permutation(len(target))
-            for i in range(0, len(target), BATCH):
-                own.train(context[order[i : i + BATCH]], target[order[i : i + BATCH]])
-            n += len(target)
-            waiting, held = [], 0
+        def finished() -> Iterator[pa.RecordBatch]:
+            if trainer is not None:
+                trainer.learn()
+                v = trainer.network.flat()
+                pieces = [v[i : i + _CHUNK].astype("<f4").tobytes() for i in range(0, len(v), _CHUNK)]
+                k = len(pieces)
+                yield pa.RecordBatch.from_pydict({"key": [f"{i:04d}" for i in range(k)], "part": pa.array([share] * k, pa.int32()), "n": [float(trainer.trained)] * k, "vec": pieces})
+
+        for some in batches:
+            for s, ids in zip(some.column(0).to_pylist(), _ids(some.column(2)), strict=True):
+                if s != share:
+                    yield from finished()
+                    share, trainer = s, Trainer(Network.unflat(shared.value), batch)
+                trainer.add(ids)
+        yield from finished()
+
+    copies = dealt.mapInArrow(run, "key string, part int, n double, vec binary")
+    found = sorted((r["key"], r["vec"]) for r in mean_vectors(copies, shares).collect())
+    return Network.unflat(np.concatenate([np.frombuffer(v, "<f4") for _, v in found])) if found else network
 
-        for batch in batches:
-            for some in slices(batch, 0):
-                for text in some.column(0).to_pylist():
-                    ids = words.ids(text)
-                    if len(ids):
-                        at = turn_positions(len(ids), turn, rounds)
-                        waiting.append((contexts(ids, at), ids[at]))
-                        held += len(at)
-                learn(32 * BATCH)
-        learn(1)
-        if n:
-            part = TaskContext.get().partitionId()
-            yield _chunks("w", own.flat().astype(np.float64) * n, part)
-            yield _chunks("n", np.array([n], float), part)
-
-    parts = texts.mapInArrow(run, "key string, part int, vec binary")
-    rows = sorted((r["key"], r["vec"]) for r in sum_vectors(parts, texts.rdd.getNumPartitions()).collect())
-    if not rows:
-        return network
-    n = next(np.frombuffer(v, "<f8")[0] for k, v in rows if k.startswith("n"))
-    return Network.unflat(np.concatenate([np.frombuffer(v, "<f8") for k, v in rows if k.startswith("w")]) / n)
-
-
-def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """Corpus counts of all words, then rounds of data-parallel training over every position of all rows."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    network = Network.initial(word_counts(texts))
-    for turn in range(rounds):
-        network = train_round(texts, network, turn, rounds)
-    return network
 
+def train(rows: DataFrame, rounds: int = ROUNDS) -> Network:
+    """Corpus counts of all words, then rounds of data-parallel training over every word of all rows of `tokens`.
 
-def document_log_prob(network: Network, ids: np.ndarray, block: int = 1 << 15) -> float:
-    """Sum over all positions of log p(word | its neighbours on both sides)."""
-    return float(sum(network.log_prob(contexts(ids, at), ids[at]).sum() for at in (np.arange(i, min(i + block, len(ids))) for i in range(0, len(ids), block))))
+    The result depends on the rows alone: partitions, retries and the number of executors don't matter.
+    """
+    counts = word_counts(rows)
+    network = Network.initial(counts)
+    for turn in range(rounds):
+        network = train_round(rows, network, turn, float(counts.sum()), rounds)
+    return network
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) per input row.
+def score(rows: DataFrame, network: Network) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) per row of `tokens`, hence per input row.
 
     Every word of a whole text is masked in turn and predicted from both sides; the
     sum is the pseudo-log-likelihood. A null, empty or blank text has n_words 0, log_prob 0
     and a null mean. A text of one word has nothing but edges around it. Repeated rows score
-    alike; a null doc_id stays null. Empty input, empty result; other columns play no part.
+    alike up to float32 rounding; a null doc_id stays null. Empty input, empty result; other columns play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network.flat())
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = rows.sparkSession.sparkContext.broadcast(network.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = Words(), Network.unflat(shared.value)
+        net = Network.unflat(shared.value)
         for batch in batches:
-            for some in slices(batch, most=1 << 18):
-                ids = [words.ids(t) for t in some.column(1).to_pylist()]
+            for some in slices(batch, 1, most=1 << 18):
+                ids = _ids(some.column(1))
                 sizes = np.array([len(x) for x in ids], np.int64)
-                total = np.zeros(len(ids))
-                short = [i for i, x in enumerate(ids) if 0 < len(x) <= 1 << 14]
-                if short:
-                    context = np.concatenate([contexts(ids[i], np.arange(len(ids[i]))) for i in short])
-                    logs = net.log_prob(context, np.concatenate([ids[i] for i in short]))
-                    total[short] = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes[short])[:-1]]))
-                for i in np.nonzero(sizes > 1 << 14)[0]:
-                    total[i] = document_log_prob(net, ids[i])
+                ends = np.cumsum(sizes + REACH)
+                sums = np.concatenate([[0.0], np.cumsum(net.log_prob(stream(ids)))])
+                total = sums[ends] - sums[ends - sizes]
                 mean = pa.array(total / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.array(total), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
-    return source.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    rows = tokens(table(spark, sf_dir, "documents"))
+    return score(rows, train(rows))
