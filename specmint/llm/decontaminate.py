@@ -5,25 +5,28 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmint.llm.common import table
+from specmint.llm.common import slices, table
 from specmint.storage import materialize
 
 WINDOW = 5
 LITERALS = 3
 COVERAGE = 0.8
-#: Windows of benchmark items that one broadcast index holds (about 25 MB); more items make more passes.
-BLOCK_WINDOWS = 1 << 20
-
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n|$€£%]")
-ENDERS = frozenset(".!?:\n|")
+#: Diagonals this near belong to one place of an item: so many words may be put in or left out.
+SLACK = 3
+#: Bits of the filter that keeps other windows from being shuffled: so many a benchmark window, within these bounds.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 256, 1 << 22, 1 << 27
+
+#: Letters of scripts without blanks between words (Thai to Khmer, kana, Han): each is a word of its own.
+_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+TOKEN = re.compile(rf"[^\W\d_{_ALONE}]+|\d+(?:[.,]\d+)*|[.!?:\n|$€£%。！？]|[{_ALONE}]")
+ENDERS = frozenset(".!?:\n|。！？")
 #: Words that are units after a number.
 UNITS = frozenset(
     "mm cm m km inch inches ft feet yd yards mile miles mg g kg t lb lbs oz ml l liter liters litre litres gallon gallons "
@@ -66,128 +69,176 @@ class Canon:
         self.ids[surface] = k
         return k
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(canonical hashes, kinds, value hashes) of a whole text's words.
+    def templates(self, texts: list[str | None]) -> Templates:
+        """The words of whole texts, one text after the other.
 
         Numbers are <num>; a unit word right after a number is <unit>; a title-cased word is
         <name> unless it begins a sentence, a line or the text. Other words are lower-cased.
         """
         if len(self.ids) > self.limit:
             self._reset()
-        ids = self.ids
-        at = np.array([ids[t] if t in ids else self._add(t) for t in TOKEN.findall(text)], np.int64)
-        if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint64)
+        ids, found, sizes = self.ids, [], []
+        for text in texts:
+            tokens = TOKEN.findall(text) if text else []
+            got = list(map(ids.get, tokens))
+            if None in got:
+                got = [self._add(t) if k is None and t not in ids else ids[t] for t, k in zip(tokens, got, strict=True)]
+            found += got
+            sizes.append(len(got))
+        at = np.array(found, np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
         kinds, values = self.kinds[at], self.hashes[at]
-        before = np.concatenate([[END], kinds[:-1]])
+        before = np.concatenate([[END], kinds[:-1]])[: len(kinds)]
+        before[np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]] = END
         kinds = np.where((kinds == NAME) & (before == END), LITERAL, kinds)
         kinds = np.where((kinds == UNIT) & (before != NUMBER), LITERAL, kinds)
         words = kinds != END
-        kinds, values = kinds[words], values[words]
-        return np.where(kinds == LITERAL, values, _PLACE[kinds % 4]), kinds, values
-
-
-def windows(canon: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows with at least LITERALS words that are no placeholders."""
-    n = len(canon) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, literal = np.zeros(n, np.uint64), np.zeros(n, np.int8)
-    for j in range(WINDOW):
-        h = (h ^ canon[j : j + n]) * _STEP
-        h ^= h >> np.uint64(29)
-        literal += kinds[j : j + n] == LITERAL
-    at = np.nonzero(literal >= LITERALS)[0]
-    return at, h[at]
+        return Templates(kinds[words], values[words], owner[words], len(texts))
+
+
+class Templates:
+    """Kinds and value hashes of the words of some texts; `start` has each text's first word."""
+
+    def __init__(self, kinds: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int) -> None:
+        self.kinds, self.values, self.owner = kinds, values, owner
+        self.start = np.searchsorted(owner, np.arange(n + 1))
+        self.canon = canonical(kinds, values)
+
+    def _within(self, length: int) -> np.ndarray:
+        """Words at which a window of `length` words of one text begins."""
+        n = max(0, len(self.owner) - length + 1)
+        return np.nonzero(self.owner[:n] == self.owner[length - 1 : length - 1 + n])[0]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the windows with at least LITERALS words that are no placeholders."""
+        at = self._within(WINDOW)
+        literal = np.concatenate([[0], np.cumsum(self.kinds == LITERAL)])
+        at = at[literal[at + WINDOW] - literal[at] >= LITERALS]
+        return at, window_hashes(self.canon, at, WINDOW, 0)
+
+    def value_windows(self, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of all windows of `length` words as they stand, placeholders or not."""
+        at = self._within(length)
+        return at, window_hashes(self.values, at, length, length)
 
 
-def value_windows(values: np.ndarray, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of all windows of `length` words as they stand, placeholders or not."""
-    n = len(values) - length + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, length, np.uint64)
+def canonical(kinds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of words as the template has them: a placeholder by kind, else the word."""
+    return np.where(kinds == LITERAL, values, _PLACE[kinds % 4])
+
+
+def window_hashes(words: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    n = max(0, len(words) - length + 1)
+    h = np.full(n, seed, np.uint64)
     for j in range(length):
-        h = (h ^ values[j : j + n]) * _STEP
+        h = (h ^ words[j : j + n]) * _STEP
         h ^= h >> np.uint64(29)
-    return np.arange(n), h
-
-
-@dataclass
-class Index:
-    """Windows of one block of benchmark items, by sorted hash."""
-
-    hashes: np.ndarray
-    item: np.ndarray
-    pos: np.ndarray
-    filter: np.ndarray
-    ids: list[int]
-    canon: list[np.ndarray]
-    kinds: list[np.ndarray]
-    values: list[np.ndarray]
-    #: Lengths of the value windows: WINDOW, and those of the items that are shorter.
-    lengths: list[int]
-
-
-def build_index(items: list[tuple[int, str]]) -> Index:
-    canon = Canon()
-    ids, cs, ks, vs, hs, which, pos, lengths = [], [], [], [], [], [], [], set()
-    for item_id, text in items:
-        c, k, v = canon.template(text)
-        if not len(c):
-            continue
-        length = min(WINDOW, len(v))
-        lengths.add(length)
-        for at, h in (windows(c, k), value_windows(v, length)):
-            hs.append(h)
-            pos.append(at)
-            which.append(np.full(len(at), len(ids), np.int32))
-        ids.append(item_id)
-        cs.append(c)
-        ks.append(k)
-        vs.append(v)
-    h, w, p = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((hs, np.uint64), (which, np.int32), (pos, np.int64)))
-    order = np.argsort(h, kind="stable")
-    bits = max(16, int(len(h) * 16).bit_length())
-    seen = np.zeros(1 << min(bits, 26), bool)
-    seen[h & np.uint64(len(seen) - 1)] = True
-    return Index(h[order], w[order], p[order], seen, ids, cs, ks, vs, sorted(lengths))
-
-
-def matches(index: Index, canon: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> list[tuple[int, float, int]]:
-    """(item_id, share of the item's words covered, slots that differ) of the items found in a text."""
-    sought = [windows(canon, kinds), *(value_windows(values, length) for length in index.lengths)]
-    at, h = (np.concatenate(x) for x in zip(*sought, strict=True))
-    near = index.filter[h & np.uint64(len(index.filter) - 1)]
-    at, h = at[near], h[near]
-    left, right = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
-    hit = np.nonzero(right > left)[0]
-    if not len(hit):
-        return []
-    found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for i in hit:
-        for e in range(left[i], right[i]):
-            found[int(index.item[e])].add((int(at[i]) - int(index.pos[e]), int(index.pos[e])))
-    out = []
-    for k, met in found.items():
-        votes = sorted(met)
-        if len({p for _, p in votes}) + WINDOW - 1 < COVERAGE * len(index.canon[k]) / 2:
-            continue
-        best, slots = 0.0, 0
-        group: list[tuple[int, int]] = []
-        for vote in [*votes, (1 << 62, 0)]:
-            if group and vote[0] - group[-1][0] > 3:
-                share, differ = _judge(index, k, group, canon, values)
-                if share > best:
-                    best, slots = share, differ
-                group = []
-            group.append(vote)
-        if best >= COVERAGE:
-            out.append((index.ids[k], best, slots))
+    return h[at]
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, size, kinds, values) of every distinct text with a word, and (item, hash, pos) of all their windows.
+
+    `item` names a text by its MD5. Windows are counted as templates and as they stand; an item
+    under WINDOW words is one window as it stands.
+    """
+    texts = benchmark.where("text is not null").select(F.col("text").cast("string").alias("text")).distinct().select(F.md5("text").alias("item"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for some in (x for batch in batches for x in slices(batch)):
+            t = canon.templates(some.column(1).to_pylist())
+            sizes = np.diff(t.start)
+            spans = [slice(a, b) for a, b in zip(t.start, t.start[1:], strict=False)]
+            found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in spans]
+            for length in range(1, WINDOW + 1):
+                for at, h in ([t.windows()] if length == WINDOW else []) + [t.value_windows(length)]:
+                    own = t.owner[at]
+                    fit = (sizes[own] >= WINDOW) if length == WINDOW else (sizes[own] == length)
+                    cuts = np.searchsorted(own[fit], np.arange(len(spans) + 1))
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if a < b:
+                            found[k].append((at[fit][a:b] - t.start[k], h[fit][a:b].view(np.int64)))
+            pos = [np.concatenate([p for p, _ in f]) if f else np.zeros(0, np.int64) for f in found]
+            hashes = [np.concatenate([h for _, h in f]) if f else np.zeros(0, np.int64) for f in found]
+            lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), pa.array([t.kinds[s].tobytes() for s in spans]), pa.array([t.values[s].tobytes() for s in spans]), lists(pos), lists(hashes)], ["item", "size", "kinds", "values", "pos", "hash"])
+
+    items = materialize(texts.mapInArrow(run, "item string, size int, kinds binary, values binary, pos array<long>, hash array<long>").where("size > 0"), "bench-items")
+    windows = items.select("item", F.inline(F.arrays_zip("hash", "pos")))
+    return items.drop("pos", "hash"), windows
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """A bit map with two bits for every benchmark window; its size is bounded, whatever the benchmark's."""
+    n = windows.count()
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_SHARE * n).bit_length()))
+    places = F.array(F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1, F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(bits - 1)) + 1)
+    marked = windows.select(F.explode(places).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in marked.collect():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["map"], np.uint8)[: len(out) - at]
     return out
 
 
-def _judge(index: Index, k: int, group: list[tuple[int, int]], canon: np.ndarray, values: np.ndarray) -> tuple[float, int]:
+def _passes(marked: np.ndarray, h: np.ndarray) -> np.ndarray:
+    last = np.uint64(8 * len(marked) - 1)
+    is_set = lambda i: marked[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8) & 1
+    near = np.nonzero(is_set(h & last))[0]
+    return near[is_set(h[near] >> np.uint64(32) & last) == 1]
+
+
+def text_key(text: str | Column) -> list[Column]:
+    """Two hashes that name a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("text"), text)]
+
+
+def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(k1, k2, hash, pos, kinds, v0..): the windows of every distinct text that may be in the benchmark."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))
+    k1, k2 = text_key("text")
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).where("text is not null")
+    values = [f"v{j}" for j in range(WINDOW)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, marked = Canon(), shared.value
+        for some in (x for batch in batches for x in slices(batch, 2)):
+            t = canon.templates(some.column(2).to_pylist())
+            sought = [t.windows(), *(t.value_windows(length) for length in lengths)]
+            at, h = (np.concatenate(x) for x in zip(*sought, strict=True))
+            near = _passes(marked, h)
+            if not len(near):
+                continue
+            at, h = at[near], h[near]
+            own = t.owner[at]
+            kinds, words = (np.concatenate([x, np.zeros(WINDOW, x.dtype)]) for x in (t.kinds, t.values))
+            packed = sum(kinds[at + j].astype(np.int32) << 3 * j for j in range(WINDOW))
+            cols = [some.column(0).take(pa.array(own)), some.column(1).take(pa.array(own)), pa.array(h.view(np.int64)), pa.array((at - t.start[own]).astype(np.int64)), pa.array(packed, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(words[at + j].view(np.int64)) for j in range(WINDOW))], ["k1", "k2", "hash", "pos", "kinds", *values])
+
+    found = rows.mapInArrow(run, "k1 long, k2 long, hash long, pos long, kinds int, " + ", ".join(f"{v} long" for v in values))
+    # Copies of a text, and windows that match both ways, are one row from here on.
+    return found.groupBy("k1", "k2", "hash", "pos").agg(F.first("kinds").alias("kinds"), *(F.first(v).alias(v) for v in values))
+
+
+def judge(own_kinds: np.ndarray, own_values: np.ndarray, votes: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[float, int]:
+    """(share of the item's words covered, slots that differ) at the best place in a text.
+
+    `votes` are (diagonal, position in the item, kinds, values of the text's window). Votes on
+    neighbouring diagonals are one place.
+    """
+    best: tuple[float, int] = (0.0, 0)
+    group: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    for vote in sorted(votes, key=lambda v: v[:2]):
+        if group and vote[0] - group[-1][0] > SLACK:
+            best = max(best, _judge(own_kinds, own_values, group), key=lambda x: x[0])
+            group = []
+        group.append(vote)
+    return max(best, _judge(own_kinds, own_values, group), key=lambda x: x[0]) if group else best
+
+
+def _judge(own_kinds: np.ndarray, own_values: np.ndarray, group: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[float, int]:
     """Coverage of an item by the windows of neighbouring diagonals whose slots agree.
 
     Slots agree when each value of the item stands for one value of the text and the
@@ -196,19 +247,19 @@ def _judge(index: Index, k: int, group: list[tuple[int, int]], canon: np.ndarray
     with another pair are refused, here and on the neighbours, which may add pairs that don't clash.
     A window that stands in the text word for word is covered whatever its slots.
     """
-    own_canon, own_kinds, own_values = index.canon[k], index.kinds[k], index.values[k]
-    covered = np.zeros(len(own_canon), bool)
-    votes = Counter(diagonal for diagonal, _ in group)
-    main = min(votes, key=lambda v: (-votes[v], v))
+    own_canon = canonical(own_kinds, own_values)
+    covered = np.zeros(len(own_kinds), bool)
+    diagonals = Counter(v[0] for v in group)
+    main = min(diagonals, key=lambda v: (-diagonals[v], v))
     placed: list[tuple[int, slice, bool, list[tuple[int, int, int]]]] = []
     slots: dict[int, tuple[int, int, int]] = {}
-    for diagonal, p in sorted(group, key=lambda v: (v[0] != main, v)):
-        span = slice(p, min(p + WINDOW, len(own_canon)))
-        there = slice(diagonal + span.start, diagonal + span.stop)
-        same = np.array_equal(own_values[span], values[there])
-        if not same and not np.array_equal(own_canon[span], canon[there]):
+    for diagonal, p, kinds, values in sorted(group, key=lambda v: (v[0] != main, *v[:2])):
+        span = slice(p, min(p + WINDOW, len(own_kinds)))
+        kinds, values = kinds[: span.stop - p], values[: span.stop - p]
+        same = np.array_equal(own_values[span], values)
+        if not same and not np.array_equal(own_canon[span], canonical(kinds, values)):
             continue
-        at = {i: (int(own_kinds[i]), int(own_values[i]), int(values[diagonal + i])) for i in range(span.start, span.stop) if own_kinds[i] != LITERAL}
+        at = {i: (int(own_kinds[i]), int(own_values[i]), int(values[i - p])) for i in range(span.start, span.stop) if own_kinds[i] != LITERAL}
         placed.append((diagonal, span, same, list(at.values())))
         if diagonal == main:
             slots |= at
@@ -240,44 +291,56 @@ def _judge(index: Index, k: int, group: list[tuple[int, int]], canon: np.ndarray
     return float(covered.mean()), len(differ)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, text_hash, item_id, coverage, n_slots_changed): every item that a text holds.
+def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k1, k2, item, coverage, n_slots_changed): every benchmark text that a text of the corpus holds.
 
-    An item counts as found when windows on neighbouring diagonals, with consistent
-    slots, cover COVERAGE of its words. The benchmark is read in blocks of at most
-    about `block_windows` windows, each indexed, broadcast and matched against all rows.
-    Windows match as templates if they have LITERALS literal words, and as they stand in any
-    case; an item under WINDOW words is one window that matches only as it stands. Items
-    without words or null match nothing. Items of equal text are
-    matched once, under their smallest item_id. Rows with null text match nothing.
+    Windows of both sides meet in a hash-join. An item can only be covered if its matched windows could
+    cover COVERAGE of its words with no overlap; the pairs of texts and items for which this holds are
+    gathered, a row each, and judged (see `judge`). What is counted and gathered is per pair, so
+    neither a task nor the driver holds the benchmark; the driver gets a bit map of bounded size.
+    """
+    items, windows = _items(benchmark)
+    lengths = sorted(r[0] for r in items.select(F.least("size", F.lit(WINDOW))).distinct().collect())
+    hits = _hits(docs, windows, lengths)
+    met = hits.join(windows.withColumnRenamed("pos", "at"), "hash").join(items.select("item", "size"), "item")
+    vote = F.struct((F.col("pos") - F.col("at")).alias("diagonal"), "at", "kinds", *(f"v{j}" for j in range(WINDOW)))
+    pairs = met.groupBy("k1", "k2", "item", "size").agg(F.collect_list(vote).alias("votes"))
+    enough = F.lit(WINDOW) * F.size(F.array_distinct(F.transform("votes", lambda v: v["at"]))) >= COVERAGE * F.col("size")
+    pairs = pairs.where(enough).drop("size").join(items.select("item", F.col("kinds").alias("own_kinds"), F.col("values").alias("own_values")), "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares, slots = [], []
+            for r in batch.select(["votes", "own_kinds", "own_values"]).to_pylist():
+                votes = [(v["diagonal"], v["at"], np.array([v["kinds"] >> 3 * j & 7 for j in range(WINDOW)], np.uint8), np.array([v[f"v{j}"] for j in range(WINDOW)], np.int64).view(np.uint64)) for v in r["votes"]]
+                share, differ = judge(np.frombuffer(r["own_kinds"], np.uint8), np.frombuffer(r["own_values"], np.uint64), votes)
+                shares.append(share)
+                slots.append(differ)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "item")), pa.array(shares, pa.float64()), pa.array(slots, pa.int64())], ["k1", "k2", "item", "coverage", "n_slots_changed"])
+
+    judged = pairs.select("k1", "k2", "item", "votes", "own_kinds", "own_values").mapInArrow(run, "k1 long, k2 long, item string, coverage double, n_slots_changed long")
+    return materialize(judged.where(F.col("coverage") >= COVERAGE), "leaks")
+
+
+def _named(leaks: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Leaks under every item_id of the item's text."""
+    ids = benchmark.where("item_id is not null and text is not null").select(F.md5(F.col("text").cast("string")).alias("item"), F.col("item_id").cast("long").alias("item_id")).distinct()
+    return leaks.join(ids, "item")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, coverage, n_slots_changed): every item that a text holds, for every row with that text.
+
+    An item counts as found when windows on neighbouring diagonals, with consistent slots, cover
+    COVERAGE of its words. Windows match as templates if they have LITERALS literal words, and as
+    they stand in any case; an item under WINDOW words is one window that matches only as it stands.
+    In scripts without blanks every letter is a word. Items without words, with null text or null id
+    match nothing; items of equal text are all found. Rows with null text hold nothing.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("text is not null").groupBy(F.col("text").alias("item")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    items = materialize(items.where("item_id is not null"), "bench-items")
-    words = items.agg(F.sum(F.regexp_count("item", F.lit(r"\S+")))).first()[0] or 0
-    # A word begins a template window and one as it stands.
-    n_blocks = max(1, -(-2 * int(words) // block_windows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = None
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).select("item_id", "item")
-        shared = spark.sparkContext.broadcast(build_index(sorted((r["item_id"], r["item"]) for r in part.collect())))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            canon, index = Canon(), shared.value
-            for batch in batches:
-                out = []
-                for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    text = text.as_py()
-                    if text:
-                        out += [(doc_id, key, *m) for m in matches(index, *canon.template(text))]
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64())], ["doc_id", "text_hash", "item_id", "coverage", "n_slots_changed"])
-
-        one = rows.mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, n_slots_changed long")
-        found = one if found is None else found.unionByName(one)
-    return found
+    leaks = _named(leaking_texts(docs, benchmark), benchmark)
+    k1, k2 = text_key("text")
+    own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
+    return own.join(leaks, ["k1", "k2"]).select("doc_id", "item_id", "coverage", "n_slots_changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -287,11 +350,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     results; a null doc_id stays null. An empty benchmark finds nothing; empty input,
     empty result; other columns are ignored.
     """
-    leaks = find_leaks(docs, benchmark)
-    leaks = leaks.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
-    leaks = materialize(leaks, "leaks")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    out = own.join(leaks, own["doc_id"].eqNullSafe(leaks["l_id"]) & (own["text_hash"] == leaks["l_hash"]), "left")
+    leaks = _named(leaking_texts(docs, benchmark), benchmark)
+    leaks = leaks.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+    k1, k2 = text_key("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"))
+    out = own.join(leaks, ["k1", "k2"], "left")
     none = F.array().cast("array<bigint>")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
@@ -302,7 +365,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows that hold a benchmark item go, all others stay."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).distinct()
-    leaks = materialize(leaks, "leaks")
-    same = docs["doc_id"].cast("long").eqNullSafe(leaks["l_id"]) & (F.xxhash64(docs["text"]) == leaks["l_hash"])
-    return docs.join(leaks, same, "left_anti")
+    leaks = leaking_texts(docs, table(spark, sf_dir, "benchmark")).select("k1", "k2").distinct()
+    k1, k2 = text_key(docs["text"])
+    return docs.join(leaks, (k1 == leaks["k1"]) & (k2 == leaks["k2"]), "left_anti")
