@@ -95,6 +95,43 @@ def test_license_spans_with_gaps(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_parts_that_repeat_are_no_notice(spark):
+    texts = ["gnu general public " * 4, "licensed under cc " * 6, "creative commons attribution " * 6, "version 2 0 " * 9 + "mozilla public license " * 9, "gnu general public gnu general public license version 3"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(5)] == [[], [], [], [], ["gpl-3"]]
+    assert all(got[i]["score"] < licenses.COVERAGE for i in range(4)) and len(got[4]["spans"]) == 1
+
+
+def slow_spans(words, template, cut=licenses.COVERAGE):
+    """Diagonals from which the template's 3-grams are found, a shift of up to SLACK words put in allowed."""
+    n = len(template) - 2
+    at = lambda d: {i for i in range(n) if 0 <= i + d and words[i + d : i + d + 3] == template[i : i + 3]}
+    found = [d for d in range(-n, len(words)) if at(d) and len(set().union(*(at(d + j) for j in range(licenses.SLACK + 1)))) >= cut * n]
+    return [d for d in found if not any(d - licenses.SLACK <= e < d for e in found)]
+
+
+def test_license_spans_equal_plain_search(spark):
+    r = random.Random(6)
+    long = " ".join(f"t{k}" for k in range(150))
+    notices = (*licenses.NOTICES, ("long", long))
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(r.randrange(1, 4)):
+            t = r.choice(notices)[1].split()
+            for _ in range(r.randrange(3)):
+                k = r.randrange(len(t))
+                t[k : k + 1] = r.choice(([], [t[k], "inserted"], ["changed"], t[max(0, k - 3) : k + 1]))
+            words += [*t, *["filler"] * r.randrange(3)]
+        texts.append(" ".join(words))
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices).collect()
+    for r in out:
+        words = texts[r["doc_id"]].split()
+        want = Counter(label for label, t in notices for _ in slow_spans(words, t.split()))
+        assert Counter(s["label"] for s in r["spans"] if s["label"] not in r["base_labels"]) == Counter({k: n for k, n in want.items() if k not in r["base_labels"]})
+        assert set(r["labels"]) >= set(want)
+
+
 # ---- quality rules -------------------------------------------------------------------------
 
 
@@ -191,12 +228,12 @@ def test_decontamination(spark, docs, empty):
     texts = {1: prose("en", 30) + " " + same, 2: prose("en", 10) + ". " + changed, 3: prose("en", 50), 4: "the river rises in the NORTHERN hills and flows past nine small towns before it meets the sea", 5: "The river rises in the northern hills.", 6: None, 7: "", 8: clash}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.decontaminate(frame, benchmark).collect()}
-    assert {i: list(r["item_ids"]) for i, r in got.items() if r["contaminated"]} == {1: [0], 2: [0], 4: [3]}
+    assert {i: list(r["item_ids"]) for i, r in got.items() if r["contaminated"]} == {1: [0], 2: [0], 4: [3, 4]}
     assert len(got) == 8 and got[5]["coverage"] == 0
     changes = {r["doc_id"]: r["n_slots_changed"] for r in decontaminate.find_leaks(frame, benchmark).collect()}
     assert changes[1] == 0 and changes[2] >= 5
-    small = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame, benchmark, block_windows=20).collect()}
-    assert small == {(1, 0), (2, 0), (4, 3)}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame, benchmark).collect()}
+    assert found == {(1, 0), (2, 0), (4, 3), (4, 4)}
     out = decontaminate.decontaminate(docs, benchmark.limit(0))
     assert out.count() == len(ROWS) and out.where("contaminated").count() == 0
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
@@ -229,6 +266,54 @@ def test_one_slot_that_clashes_refuses_its_windows_only(spark):
     assert all(r["coverage"] == 1 for r in leaks if r["doc_id"] == 4)
 
 
+def slow_leaks(text, item):
+    """Coverage of the item by plain search: every pair of places, every window, no index."""
+    canon = decontaminate.Canon()
+    t, i = canon.templates([text]), canon.templates([item])
+    n = len(i.kinds)
+    w = min(decontaminate.WINDOW, n)
+    votes = []
+    for p in range(n - w + 1):
+        literal = sum(k == decontaminate.LITERAL for k in i.kinds[p : p + w])
+        for q in range(len(t.kinds) - w + 1):
+            same = list(i.values[p : p + w]) == list(t.values[q : q + w])
+            alike = w == decontaminate.WINDOW and literal >= decontaminate.LITERALS and list(i.canon[p : p + w]) == list(t.canon[q : q + w])
+            if same or alike:
+                votes.append((q - p, p, t.kinds[q : q + w], t.values[q : q + w]))
+    return decontaminate.judge(i.kinds, i.values, votes)[0] if n else 0.0
+
+
+def test_leaks_equal_plain_search_both_ways(spark):
+    r = random.Random(31)
+    names, units = ["Anna", "Paul", "Maria", "Otto"], ["km", "kg", "hours"]
+
+    def question(n):
+        return " ".join(r.choice((prose("en", 1), prose("en", 1), str(r.randrange(90)) + " " + r.choice(units), r.choice(names))) for _ in range(n))
+
+    items = [question(r.randrange(1, 40)) for _ in range(25)] + ["", "42", "北京是中国的首都吗", None, "the the the the the the the the"]
+    texts = []
+    for k in range(90):
+        words = (items[k % 25] or "").split()
+        for _ in range(r.choice((0, 0, 1, 2, 4))):
+            j = r.randrange(len(words))
+            words[j : j + 1] = r.choice(([], ["changed"], [words[j], "more"], [str(r.randrange(90))], [r.choice(names)]))
+        texts.append(" ".join([prose("en", r.randrange(20)), *words, prose("en", r.randrange(20))]))
+    texts += ["他说北京是中国的首都吗？是的", "the " * 300, "", "42", question(3) + " 42 ", None, texts[0], texts[0]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = decontaminate.find_leaks(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    got = {(x["doc_id"], x["item_id"]): x["coverage"] for x in found}
+    want = {(d, i): c for d, t in enumerate(texts) for i, item in enumerate(items) if t and item and (c := slow_leaks(t, item)) >= decontaminate.COVERAGE}
+    assert got == pytest.approx(want) and len(want) > 60 and (90, 27) in want
+
+
+def test_every_sixth_word_changed_is_found(spark):
+    words = [f"{prose('en', 1)}{k}x" for k in range(102)]
+    changed = [w if k % 6 else "other" for k, w in enumerate(words, 1)]
+    frame = spark.createDataFrame([(None, "before it " + " ".join(changed) + " after it"), (1, " ".join(words) * 400), (None, None)], "doc_id long, text string")
+    out = decontaminate.decontaminate(frame, spark.createDataFrame([(7, " ".join(words)), (None, "an item without an id")], "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["contaminated"], tuple(r["item_ids"])) for r in out) == Counter([(None, True, (7,)), (1, True, (7,)), (None, False, ())])
+
+
 # ---- languages -----------------------------------------------------------------------------------
 
 
@@ -310,6 +395,43 @@ def test_encoder_equals_whole_texts():
         assert got == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_equals_whole_texts_on_random_unicode():
+    r = random.Random(21)
+    blanks = "".join(map(chr, (*range(0x20), 0x20, 0x7F, 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x2007, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+    taken_apart = "".join(map(chr, (*range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xA33, 0xB5C, 0xF43, 0xFB1D, 0xFB1F, *range(0xFB2A, 0xFB37), 0x2ADC, 0x340, 0x341, 0x344, 0x1D15E)))
+    pools = [blanks, taken_apart, ".,", "abcXYZ", "äéßÉİŉǅẞſK", "'sdlrvetm", "0½²٣", "\u0301\u0307\u0323\u093c", "ΣΌς", "日本語한글각", "<|endoftext|>", "-!…"]
+    texts = ["पढ\u095d.", "a\x1cb", "İ. x", "\u0958, a"]
+    for _ in range(20_000):
+        some = r.sample(pools, r.randrange(1, 5))
+        texts.append("".join(r.choice(r.choice(some)) if r.random() < 0.9 else chr(r.choice((r.randrange(0xD800), r.randrange(0xE000, 0x11000), r.randrange(0x1F000, 0x1FA00)))) for _ in range(r.randrange(1, 14))))
+    enc = records.WordEncoder(records.default_tokenizer())
+    assert enc.piecewise
+    got = [np.frombuffer(b, enc.dtype).tolist() for at in range(0, len(texts), 1000) for b in enc.encode(texts[at : at + 1000])]
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [r[1] or "" for r in ROWS[:20]] + [" two  blanks\n\n ", "a\x1cb"]
+    enc, plain = records.WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.piecewise
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    out = records.encode_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in out] == [len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_rows_of_one_id_are_spread_over_files(spark):
+    frame = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = records.write_records(frame, records.new_path(spark, "tokens"), records.default_tokenizer())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1 and records.read_records(spark, manifest).count() == 4000
+
+
 def test_damage_is_found():
     data = records.record(7, b"\x01\x00\x02\x00", False) + records.record(None, b"", True)
     payload, at = records.unframe(memoryview(data), 0)
@@ -326,42 +448,105 @@ def test_damage_is_found():
 # ---- language model --------------------------------------------------------------------------------------
 
 
+def slow_log_prob(network, words):
+    """Word by word and level by level, from the parameters."""
+    p, total = network.p, 0.0
+    ids = [zlib.crc32(w.encode()) % masked_lm.VOCAB for w in words]
+    for i, t in enumerate(ids):
+        x = p["b"].astype(float)
+        for j, o in enumerate((-3, -2, -1, 1, 2, 3)):
+            x = x + p["g"][j] * p["e"][ids[i + o] if 0 <= i + o < len(ids) else masked_lm.EDGE]
+        h = np.tanh(x)
+        for k, (node, child) in enumerate(((0, t // 256), (t // 256, t // 16 % 16), (t // 16, t % 16))):
+            z = h @ p[f"w{k}"][node] + p[f"c{k}"][node]
+            total += z[child] - np.log(np.exp(z).sum())
+    return total
+
+
 def test_pseudo_likelihood(docs, empty):
-    network = masked_lm.train(docs)
-    out = masked_lm.score(docs, network).collect()
-    assert len(out) == len(ROWS)
-    words = masked_lm.Words()
+    rows = masked_lm.tokens(docs)
+    network = masked_lm.train(rows)
+    out = masked_lm.score(rows, network).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in out) == Counter((r[0], len((r[1] or "").split())) for r in ROWS)
     by_id = {r[0]: r[1] for r in ROWS if r[0] is not None and r[0] != 400}
     for r in out:
         assert (r["n_words"] == 0) == (r["mean_log_prob"] is None) and r["log_prob"] <= 0
-        if r["doc_id"] in (3, 304, 305):
-            ids = words.ids(by_id[r["doc_id"]])
-            assert r["n_words"] == len(ids) and r["log_prob"] == pytest.approx(masked_lm.document_log_prob(network, ids), rel=1e-4)
-    h = network.hidden(masked_lm.contexts(ids := words.ids("the old house stands"), np.arange(4)))
-    total = sum(np.exp(network.log_prob(np.repeat(masked_lm.contexts(ids, np.array([1])), masked_lm.VOCAB, axis=0), np.arange(masked_lm.VOCAB))))
-    assert h.shape == (4, masked_lm.WIDTH) and total == pytest.approx(1.0, abs=1e-3)
-    assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
-
-
-def test_training_helps_held_out_text(spark):
-    train = spark.createDataFrame([(i, " ".join(["alpha beta gamma delta"] * 60)) for i in range(40)], "doc_id long, text string").repartition(2)
-    network = masked_lm.train(train)
-    ids = masked_lm.Words().ids("alpha beta gamma delta alpha beta gamma")
-    plain = masked_lm.Network.initial(masked_lm.word_counts(train.select("text")))
-    assert masked_lm.document_log_prob(network, ids) > masked_lm.document_log_prob(plain, ids)
-
-
-def test_rounds_train_on_every_position(spark):
-    for rounds in (1, masked_lm.ROUNDS, 5):
-        for n in range(20):
-            assert sorted(np.concatenate([masked_lm.turn_positions(n, k, rounds) for k in range(rounds)])) == list(range(n))
+        if r["doc_id"] in by_id and r["doc_id"] % 7 < 4:
+            assert r["log_prob"] == pytest.approx(slow_log_prob(network, (by_id[r["doc_id"]] or "").translate(UPPER).split()), rel=1e-4)
+    # The probabilities of all words at one place sum to one.
+    h = np.repeat(masked_lm.stream([masked_lm.Words().ids("the old house stands")])[None], masked_lm.VOCAB, axis=0)
+    h[:, 4] = np.arange(masked_lm.VOCAB)
+    assert sum(np.exp(network.log_prob(row)[4]) for row in h) == pytest.approx(1.0, abs=1e-3)
+    none = masked_lm.tokens(empty)
+    assert masked_lm.score(none, masked_lm.train(none)).count() == 0
+
+
+def test_gradients_equal_differences():
+    network = masked_lm.Network.initial(np.ones(masked_lm.VOCAB))
+    text = masked_lm.stream([masked_lm.Words().ids("the old house stands over the garden and the water"), masked_lm.Words().ids("one two")])
+    before = {k: v.copy() for k, v in network.p.items()}
+    seen = {k: v.copy() for k, v in network.seen.items()}
+    network.train(text)
+    grads = {k: (before[k] - network.p[k]) * np.sqrt(network.seen[k]) / masked_lm.RATE for k in before}
+    assert all(np.allclose(network.seen[k] - seen[k], grads[k] ** 2, atol=1e-5) for k in before)
+    loss = lambda p: -masked_lm.Network(p).log_prob(text).sum() / 12
+    for k, v in before.items():
+        for at in np.argsort(-np.abs(grads[k]), axis=None)[:3]:
+            place = np.unravel_index(at, v.shape)
+            up, down = ({**before, k: before[k].copy()} for _ in range(2))
+            up[k][place] += 1e-2
+            down[k][place] -= 1e-2
+            assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(grads[k][place], rel=0.05, abs=1e-4)
+
+
+def test_training_beats_unigram_and_left_bigram_on_held_out_text(spark):
+    """Each middle word depends on both neighbours, which a left bigram can't see."""
+    r = np.random.default_rng(5)
+
+    def text(n):
+        left, right = r.integers(0, 6, n), r.integers(0, 6, n)
+        return " ".join(f"a{x} m{x}{y} b{y}" for x, y in zip(left, right, strict=True))
+
+    rows = [(i, text(50)) for i in range(800)]
+    held = [masked_lm.Words().ids(text(50)) for _ in range(40)]
+    network = masked_lm.train(masked_lm.tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    one, two = Counter(), Counter()
+    for _, t in rows:
+        ids = masked_lm.Words().ids(t).tolist()
+        one.update(ids)
+        two.update(zip(ids, ids[1:], strict=False))
+    n = sum(map(len, held))
+    unigram = sum(np.log(one[w] / one.total()) for t in held for w in t.tolist()) / n
+    first = sum(np.log(one[t[0]] / one.total()) for t in held)
+    bigram = (first + sum(np.log((two[a, b] + 0.01) / (one[a] + 0.01 * len(one))) for t in held for a, b in zip(t.tolist(), t.tolist()[1:], strict=False))) / n
+    mean = network.log_prob(masked_lm.stream(held)).sum() / n
+    assert mean > bigram + 0.3 > unigram + 0.3
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "SHARE_WORDS", 1500)
+    base = spark.createDataFrame([r[:2] for r in ROWS if r[0] is not None and r[0] != 305], "doc_id long, text string")
+    got = []
+    for n in (1, 2, 7):
+        rows = masked_lm.tokens(base.repartition(n))
+        assert masked_lm.share_count(masked_lm.word_counts(rows).sum()) > 2
+        got.append(sorted(map(tuple, masked_lm.score(rows, masked_lm.train(rows)).collect())))
+    for other in got[1:]:
+        assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-4) for a, b in zip(got[0], other, strict=True))
+
+
+def test_rounds_train_on_every_word(spark, monkeypatch):
+    trained = []
+    plain = masked_lm.mean_vectors
+    monkeypatch.setattr(masked_lm, "SHARE_WORDS", 1500)
+    monkeypatch.setattr(masked_lm, "mean_vectors", lambda parts, n: trained.append(sum(r["n"] for r in parts.select("part", "n").distinct().collect())) or plain(parts, n))
+    rows = masked_lm.tokens(spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string").repartition(5))
+    masked_lm.train(rows)
+    assert len(trained) == masked_lm.ROUNDS and sum(trained) == sum(len((r[1] or "").split()) for r in ROWS)
     for text in ("alpha", "alpha beta", "alpha beta gamma"):
-        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
-        plain = masked_lm.Network.initial(masked_lm.word_counts(frame.select("text")))
-        got, ids = masked_lm.train(frame), masked_lm.Words().ids(text)
-        for k in range(len(ids)):
-            context = masked_lm.contexts(ids, np.array([k]))
-            assert got.log_prob(context, ids[k : k + 1])[0] > plain.log_prob(context, ids[k : k + 1])[0]
+        rows = masked_lm.tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        start, ids = masked_lm.Network.initial(masked_lm.word_counts(rows)), masked_lm.stream([masked_lm.Words().ids(text)])
+        assert (masked_lm.train(rows).log_prob(ids) >= start.log_prob(ids)).all()
 
 
 # ---- quality classifier -----------------------------------------------------------------------------------
