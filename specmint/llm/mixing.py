@@ -8,31 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specmint.llm.common import WORD, table
+from specmint.operators.ranking import ranked
 from specmint.storage import materialize
 
 LEVEL_BITS = 12
 LEVELS = 3
 
 
-def ranked(keys: DataFrame, key: str) -> DataFrame:
-    """Add `rank` (0-based, code point order, null last) to distinct keys, without a single-task sort.
-
-    Range partitions are ordered by their id, so a key's rank is its place in its
-    partition plus the sizes of the partitions before; only those sizes pass the driver.
-    """
-    order = [F.col(key).isNull(), F.col(key)]
-    parts = keys.repartitionByRange(*order).sortWithinPartitions(*order)
-    # monotonically_increasing_id counts up from 2^33 times the partition's id.
-    parts = materialize(parts.withColumn("place", F.monotonically_increasing_id()), "ranked")
-    sizes = sorted(parts.groupBy(F.shiftright("place", 33).alias("p")).count().collect())
-    before, sums = 0, []
-    for p, n in sizes:
-        sums += [F.lit(p), F.lit(before)]
-        before += n
-    base = F.element_at(F.create_map(*sums), F.shiftright("place", 33)) if sums else F.lit(0)
-    return parts.withColumn("rank", (base + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("place")
-
-
 def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) for (source, source_size).
 
@@ -42,7 +24,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     stay a table: each round is one aggregation, and only its sums reach the driver.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    rows = materialize(ranked(sources, "source").withColumn("weight", weight).withColumn("top", most * F.col("source_size")), "mix-sources")
+    rows = materialize(ranked(sources, [F.col("source").isNull(), F.col("source")]).withColumn("weight", weight).withColumn("top", most * F.col("source_size")), "mix-sources")
     budget = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
     rate, capped = 0.0, -1
     while True:
@@ -140,4 +122,5 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     keep = thresholds(compact(docs))
     copies = keep["whole"] + (document_place(docs["doc_id"]) < keep["threshold"]).cast("int")
     taken = docs.join(keep, docs["source"].cast("string").eqNullSafe(keep["s"])).where(copies > 0)
-    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias("_mix_copy")).drop("_mix_copy")
+    own = F.struct(*(docs[c] for c in docs.columns))
+    return taken.select(F.inline(F.array_repeat(own, copies)))

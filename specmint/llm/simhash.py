@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmint.llm.common import map_batches, table
-from specmint.llm.shingle_join import similar_texts
+from specmint.llm.shingle_join import WIDTH, similar_texts
 from specmint.operators.components import connected_components
 from specmint.storage import materialize
 
@@ -91,7 +91,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = connected_components(links(nodes, distance))
     # Most fingerprints are alone: only the linked ones meet in an aggregation.
     linked = parts.withColumnRenamed("node", "fp").join(nodes, "fp")
-    named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that the join by component reads plain shuffles, of which Spark splits large parts.
+    linked = materialize(linked, "simhash-linked")
+    named = materialize(linked.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-named")
     linked = materialize(linked.join(named, "component").select("fp", "component", "component_id"), "simhash-components")
     alone = nodes.withColumnRenamed("least", "own")
     ids = alone.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
@@ -103,16 +105,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def likely_copies(docs: DataFrame, width: int) -> DataFrame:
+    """(a, b): text hashes of near fingerprints, one pair a fingerprint and one a text that shares its fingerprint."""
+    fps = materialize(fingerprints(docs, width=width).select("fp", "text_hash").distinct(), "simhash")
+    first = materialize(fps.groupBy("fp").agg(F.min("text_hash").alias("least")), "simhash-nodes")
+    near = links(first).select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("other")), F.struct(F.col("b").alias("fp"), F.col("a").alias("other")))))
+    near = near.groupBy("fp").agg(F.min("other").alias("other"))
+    other = first.select(F.col("fp").alias("other"), F.col("least").alias("b"))
+    linked = near.join(first.withColumnRenamed("least", "a"), "fp").join(other, "other").select("a", "b")
+    same = fps.join(first, "fp").where("text_hash <> least").select(F.col("least").alias("a"), F.col("text_hash").alias("b"))
+    return materialize(linked.unionByName(same), "simhash-pairs")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each component of `similar_texts` stays.
+    """Pipeline stage: one row of each component of near copies stays.
 
-    It is the row with the smallest doc_id (nulls last); among rows that repeat
-    that doc_id the one whose text hash is smallest, and one of identical rows.
+    Multi-index hashing of the fingerprints of 5-word shingles finds likely copies; `similar_texts`
+    verifies them by exact similarity and adds the copies whose fingerprints lie further apart. The row
+    that stays has the smallest doc_id (nulls last); among rows that repeat that doc_id it is the one
+    whose text hash is smallest, and one of identical rows.
     """
-    found = materialize(similar_texts(docs).select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key")), "neardup")
+    found = similar_texts(docs, likely=likely_copies(docs, WIDTH))
+    found = materialize(found.select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key")), "neardup")
     keys = found.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"))
-    chosen = found.groupBy("component").agg(F.min("key").alias("best"))
-    judged = keys.join(chosen, "component").select(F.col("key.doc_id").alias("k_id"), F.col("key.text_hash").alias("k_hash"), "n", F.col("key").eqNullSafe(F.col("best")).alias("stays"))
+    # Written, so that the join below reads plain shuffles, of which Spark splits large parts.
+    chosen = materialize(found.groupBy("component").agg(F.min("key").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "neardup-chosen")
+    judged = materialize(keys, "neardup-keys").join(chosen, "component").select(F.col("key.doc_id").alias("k_id"), F.col("key.text_hash").alias("k_hash"), "n", F.col("key").eqNullSafe(F.col("best")).alias("stays"))
     judged = materialize(judged.where(~F.col("stays") | (F.col("n") > 1)), "neardup-judged")
     same = docs["doc_id"].cast("long").eqNullSafe(judged["k_id"]) & (F.xxhash64(docs["text"]) == judged["k_hash"])
     kept = docs.join(judged, same, "left_anti")

@@ -72,16 +72,23 @@ def top_k_in_block(vectors: DataFrame, k: int = 20, block: str = "block", record
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf["query"]], pdf[~pdf["query"]]
-        out: list[tuple] = []
         if len(q) and len(t):
             t = t.sort_values("record_id")
-            ids = t["record_id"].to_numpy()
+            own, ids = q["record_id"].to_numpy(), t["record_id"].to_numpy()
             sims = np.stack(q["vector"].to_numpy()).astype(np.float64) @ np.stack(t["vector"].to_numpy()).astype(np.float64).T
-            for r, row in zip(q["record_id"], sims, strict=True):
-                row[ids == r] = -np.inf
-                best = np.argsort(-row, kind="stable")[:k]
-                out += [(pdf["block"].iloc[0], r, ids[i], row[i]) for i in best if np.isfinite(row[i])]
-        return pd.DataFrame(out, columns=["block", "record_id", "neighbour", "cos"])
+            sims[own[:, None] == ids[None, :]] = -np.inf
+            if len(ids) > k:
+                # The k-th best of each row cuts; all that equal it are in, so that ties go to the smaller id.
+                cut = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
+            else:
+                cut = np.full(len(own), -np.inf)
+            row, col = np.nonzero((sims >= cut[:, None]) & np.isfinite(sims))
+            best = np.lexsort((ids[col], -sims[row, col], row))
+            row, col = row[best], col[best]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[near], col[near]
+            return pd.DataFrame({"block": pdf["block"].iloc[0], "record_id": own[row], "neighbour": ids[col], "cos": sims[row, col]})
+        return pd.DataFrame({"block": [], "record_id": [], "neighbour": [], "cos": []})
 
     found = queries.unionByName(targets).groupBy("block", "own", "other").applyInPandas(near, "block string, record_id long, neighbour long, cos double")
     order = Window.partitionBy("block", "record_id").orderBy(F.desc("cos"), "neighbour")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmint.functions import codes
+from specmint.operators.ranking import ranked
+from specmint.storage import materialize
 
 
 def plan_groups(groups: DataFrame, live: DataFrame, strict: bool = True) -> DataFrame:
@@ -31,10 +33,15 @@ def plan_groups(groups: DataFrame, live: DataFrame, strict: bool = True) -> Data
 
 
 def issue(planned: DataFrame, last_serials: DataFrame) -> DataFrame:
-    """Add serial and code to planned groups: per class, the next serials in order of group_id."""
-    new = planned.where(F.col("status") == "issued")
-    place = F.row_number().over(Window.partitionBy("class_code").orderBy("group_id"))
-    new = new.withColumn("place", place).join(last_serials.select("class_code", "last_serial"), "class_code", "left")
+    """Add serial and code to planned groups: per class, the next serials in order of group_id.
+
+    Groups are ranked by (class, id) over range partitions, and a class starts at its smallest rank: classes
+    are few, so numbering by class alone would be as many tasks, whatever the data.
+    """
+    new = ranked(planned.where(F.col("status") == "issued").select("class_code", "group_id"), [F.col("class_code"), F.col("group_id")])
+    starts = new.groupBy("class_code").agg(F.min("rank").alias("start"))
+    new = new.join(F.broadcast(starts), "class_code").withColumn("place", F.col("rank") - F.col("start") + 1)
+    new = new.join(F.broadcast(last_serials.select("class_code", "last_serial")), "class_code", "left")
     new = new.withColumn("serial", (F.coalesce("last_serial", F.lit(0)) + F.col("place")).cast("long"))
     new = new.select("group_id", "serial", codes.mint(F.col("class_code"), F.col("serial")).alias("new_code"))
     return planned.join(new, "group_id", "left").withColumn("code", F.coalesce("new_code", F.when(F.col("status").isin("reused", "consolidated"), F.col("keeps")))).drop("new_code")
@@ -45,20 +52,25 @@ def supersede(planned: DataFrame) -> DataFrame:
     return planned.where("status = 'consolidated'").select(F.explode("held").alias("code"), F.col("keeps").alias("superseded_by")).where("code <> superseded_by")
 
 
-def resolve(registry: DataFrame, max_hops: int = 32) -> DataFrame:
-    """(code, live_code, hops): supersession followed to its end by pointer doubling.
+def resolve(registry: DataFrame) -> DataFrame:
+    """(code, live_code, hops): supersession followed to its end, however long, by pointer doubling.
 
-    A code on a cycle, or whose chain leads into one or is over `max_hops` long, has a null live_code.
+    Each round doubles the hops of every code whose end isn't known yet, and looks it up among those whose
+    end is. It stops when all are known or when as many hops are made as there are codes: what then
+    still moves is on a cycle or leads into one and has a null live_code, as has a chain that
+    ends at an unknown code.
     """
-    state = registry.select("code", F.coalesce("superseded_by", "code").alias("at"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).alias("hops"))
-    step, doublings = 1, 0
-    while step < max_hops:
-        step, doublings = step * 2, doublings + 1
-    for _ in range(doublings):
-        ahead = state.select(F.col("code").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"))
-        state = state.join(ahead, "at", "left").select("code", F.coalesce("further", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-    ends = registry.where("superseded_by is null").select(F.col("code").alias("at"), F.col("code").alias("live_code"))
-    return state.join(ends, "at", "left").select("code", "live_code", F.when(F.col("live_code").isNotNull(), F.col("hops")).alias("hops"))
+    done = materialize(registry.where("superseded_by is null").select("code", F.col("code").alias("live_code"), F.lit(0).alias("hops")), "chains-done")
+    moving = materialize(registry.where("superseded_by is not null").select("code", F.col("superseded_by").alias("at"), F.lit(1).alias("hops")), "chains")
+    step, n = 1, registry.count()
+    while not moving.isEmpty() and step <= 2 * n:
+        known = done.select(F.col("code").alias("at"), "live_code", F.col("hops").alias("more"))
+        found = moving.join(known, "at").select("code", "live_code", (F.col("hops") + F.col("more")).alias("hops"))
+        ahead = moving.select(F.col("code").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"))
+        left = moving.join(known.select("at"), "at", "left_anti").join(ahead, "at")
+        done, moving = materialize(done.unionByName(found), "chains-done"), materialize(left.select("code", F.col("further").alias("at"), (F.col("hops") + F.col("more")).alias("hops")), "chains")
+        step *= 2
+    return registry.select("code").join(done, "code", "left").select("code", "live_code", "hops")
 
 
 def grade_links(members: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specmint import dictionaries as D
 from specmint.functions.text import flat
+from specmint.operators.ranking import cumulative
 
 
 @dataclass(frozen=True)
@@ -100,16 +101,15 @@ def explain(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), cos: str
 def priority(pairs: DataFrame, value: str = "value_at_stake", by_value: bool = True, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Add uncertainty, thinness, value_pct and priority of a review queue.
 
-    The percentile of value is a cumulative distribution over the queue, which one window
-    without a partition would put into one task; counts by distinct value come first, so
-    that task gets distinct values alone.
+    The percentile of value is a cumulative distribution over the queue: counts by distinct
+    value, range-partitioned and summed up, so that no task gets them all.
     """
     mid, half = (config.discard + config.auto) / 2, (config.auto - config.discard) / 2
     out = pairs.withColumn("uncertainty", F.greatest(F.lit(0.0), 1 - F.abs(F.col("score") - mid) / half)).withColumn("thinness", 1 / (1 + F.col("coverage")))
     if not by_value:
         return out.withColumn("priority", 0.40 * F.col("uncertainty") + 0.30 * F.col("thinness"))
     counts = pairs.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("v", (F.col("upto") / F.col("all")).alias("value_pct"))
+    upto = cumulative(counts, "v").select("v", (F.col("upto") / F.col("all")).alias("value_pct"))
     out = out.join(upto, out[value].eqNullSafe(upto["v"]), "left").drop("v")
     return out.withColumn("priority", 0.40 * F.col("uncertainty") + 0.30 * F.col("thinness") + 0.30 * F.col("value_pct"))
 

@@ -8,6 +8,7 @@ executor never takes the only copy with it.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ _PREFIX = f"specmint-{uuid.uuid4().hex[:12]}"
 def shared_dir(spark: SparkSession) -> str:
     """Fully qualified URI of this application's folder in the shared directory.
 
-    Only where the session names no folder (local tests) is a temporary one set.
+    Where the session names no folder a temporary one is set if the master is local, as in tests.
+    On a cluster each machine would have a folder of its own there, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="specmint-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
