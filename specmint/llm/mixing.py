@@ -120,7 +120,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     themselves; texts are moved only where that table is too large to broadcast.
     """
     keep = thresholds(compact(docs))
-    copies = keep["whole"] + (document_place(docs["doc_id"]) < keep["threshold"]).cast("int")
-    taken = docs.join(keep, docs["source"].cast("string").eqNullSafe(keep["s"])).where(copies > 0)
-    own = F.struct(*(docs[c] for c in docs.columns))
-    return taken.select(F.inline(F.array_repeat(own, copies)))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), document_place(F.col("doc_id")).alias("place"))
+    copies = F.col("whole") + (F.col("place") < F.col("threshold")).cast("int")
+    taken = rows.join(keep, F.col("source").eqNullSafe(F.col("s"))).where(copies > 0)
+    return taken.select(F.inline(F.array_repeat("row", copies)))
