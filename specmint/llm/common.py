@@ -38,6 +38,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let no more than `rows` texts reach Python at once; a session that asks for fewer keeps its number.
+
+    Spark holds a batch in direct memory and Python holds it again, beside the heap that executors
+    are sized by: ten thousand texts are too many there where texts are long.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batch: pa.RecordBatch, text: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts have about `most` bytes together; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmint.llm.common import slices, table
+from specmint.llm.common import bound_batches, slices, table
 from specmint.storage import materialize
 
 WINDOW = 5
@@ -365,6 +365,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows that hold a benchmark item go, all others stay."""
+    bound_batches(spark)
     leaks = leaking_texts(docs, table(spark, sf_dir, "benchmark")).select("k1", "k2").distinct()
     k1, k2 = text_key(docs["text"])
     return docs.join(leaks, (k1 == leaks["k1"]) & (k2 == leaks["k2"]), "left_anti")

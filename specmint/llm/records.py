@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmint.llm.common import slices, table
+from specmint.llm.common import bound_batches, slices, table
 from specmint.storage import materialize, new_path
 
 MASK_DELTA = 0xA282EAD8
@@ -309,4 +309,5 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_records_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of `encode_documents` for what is left."""
+    bound_batches(spark)
     return encode_documents(spark, docs)

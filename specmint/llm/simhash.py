@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specmint.llm.common import map_batches, table
+from specmint.llm.common import bound_batches, map_batches, table
 from specmint.llm.shingle_join import WIDTH, similar_texts
 from specmint.operators.components import connected_components
 from specmint.storage import materialize
@@ -125,6 +125,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     that stays has the smallest doc_id (nulls last); among rows that repeat that doc_id it is the one
     whose text hash is smallest, and one of identical rows.
     """
+    bound_batches(spark)
     found = similar_texts(docs, likely=likely_copies(docs, WIDTH))
     found = materialize(found.select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("key")), "neardup")
     keys = found.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n"))
