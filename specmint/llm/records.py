@@ -13,6 +13,7 @@ right by 15 bits plus a constant, so that checksums of data holding checksums st
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -81,6 +82,8 @@ _PRE_TOKENIZER = {
 _FALSE_BLANKS = "\x1c\x1d\x1e\x1f"
 #: Letters below this are letters in every version of Unicode that a library may hold.
 _LATIN_END = "\u0250"
+#: Words that the normalizer leaves as letters: below U+0180 nothing but U+0130 turns into anything else than one letter.
+_PLAIN_LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
 class WordEncoder:
@@ -110,69 +113,81 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+
     def _letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of letters, non-ASCII ones included: one pre-token each, or else encoded alone."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids, owner = np.asarray(got.ids, self.dtype), np.asarray(got.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * self.dtype.itemsize
             if len(owner) and owner[-1] + 1 == len(part):
-                yield from ((w, ids[cuts[i] : cuts[i + 1]].tobytes()) for i, w in enumerate(part))
+                packed, cuts = ids.tobytes(), cuts.tolist()
+                yield from ((w, packed[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
             else:
                 yield from self._alone(part)
 
     def _alone(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         for piece, got in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            yield piece, np.asarray(got.ids, self.dtype).tobytes()
+            yield piece, self._pack(got.ids)
 
     def _stay_letters(self, core: str) -> bool:
         """Whether the normalizer leaves nothing but Latin letters; it may set a mark free that joins what follows."""
+        if _PLAIN_LATIN.fullmatch(core):
+            return True
         plain = self.tokenizer.normalizer.normalize_str(core)
         return plain.isalpha() and max(plain) < _LATIN_END
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the cache lacks."""
-        split, cores, plain, letters, odd = {}, self.cores, set(), set(), set()
+        cores, split, plain, letters, odd = self.cores, [], set(), set(), set()
         for piece in missing:
             core = piece.rstrip(".,")
-            ascii_core = core.isascii()
-            if core.isalpha() and (ascii_core or core in cores or core in letters or self._stay_letters(core)):
-                tail = piece[len(core) :]
-                if tail:
-                    odd.add(tail)
-                if ascii_core:
-                    core = core.lower()
-                    if core not in cores:
-                        plain.add(core)
-                elif core not in cores:
-                    letters.add(core)
-                split[piece] = core, tail
-            else:
+            tail = piece[len(core) :]
+            if not core.isalpha():
                 odd.add(piece)
-        tokenize, dtype = self.model.tokenize, self.dtype
-        known = {w: np.array([t.id for t in tokenize(w)], dtype).tobytes() for w in plain}
+                continue
+            if core.isascii():
+                core = core.lower()
+                if core not in cores:
+                    plain.add(core)
+            elif core not in cores and core not in letters:
+                if not self._stay_letters(core):
+                    odd.add(piece)
+                    continue
+                letters.add(core)
+            if tail:
+                odd.add(tail)
+            split.append((piece, core, tail))
+        tokenize, pack = self.model.tokenize, self._pack
+        known = {w: pack([t.id for t in tokenize(w)]) for w in plain}
         known.update(self._letters(sorted(letters)))
         alone = dict(self._alone(sorted(odd)))
+        for piece, core, tail in split:
+            ids = known.get(core) or cores[core]
+            alone[piece] = ids + alone[tail] if tail else ids
         if len(cores) < self.limit:
             cores.update(known)
-        alone.update((p, (known.get(c) or cores[c]) + (alone[t] if t else b"")) for p, (c, t) in split.items())
         if len(self.pieces) < self.limit:
             self.pieces.update(alone)
         return alone
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; what the cache lacks is learned for all of them at once."""
+        """Ids of each text; its distinct pieces are looked up, and what the cache lacks is learned, for all texts at once."""
         whole = [i for i, t in enumerate(texts) if t and (not self.piecewise or any(c in t for c in _FALSE_BLANKS))]
         given = dict(zip(whole, (ids for _, ids in self._alone([texts[i] for i in whole])), strict=True)) if whole else {}
         words = [t.split() if t and i not in given else [] for i, t in enumerate(texts)]
-        got = [list(map(self.pieces.get, w)) for w in words]
-        lacking = [i for i, g in enumerate(got) if None in g]
-        if lacking:
-            new = self._learn({w for i in lacking for w, b in zip(words[i], got[i], strict=True) if b is None})
-            for i in lacking:
-                got[i] = [new[w] if b is None else b for w, b in zip(words[i], got[i], strict=True)]
-        return [given[i] if i in given else b"".join(g) for i, g in enumerate(got)]
+        distinct: set[str] = set()
+        for w in words:
+            distinct.update(w)
+        missing = distinct.difference(self.pieces)
+        known = distinct - missing
+        ids = dict(zip(known, map(self.pieces.__getitem__, known), strict=True))
+        if missing:
+            ids.update(self._learn(missing))
+        return [given[i] if i in given else b"".join(map(ids.__getitem__, w)) for i, w in enumerate(words)]
 
 
 _encoders: dict[str, WordEncoder] = {}
