@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -91,8 +92,9 @@ class WordEncoder:
 
     It is the same for a tokenizer that drops white space and never merges over it: its normalizer
     and pre-tokenizer are read from its file and compared with the two above, and no added token may hold a
-    blank. Any other tokenizer gets whole texts, and so does a text with U+001C to U+001F, which only Python
-    takes for blanks. A piece of Latin letters followed by full stops or commas splits once more, as the
+    blank or be taken for a word or a run of punctuation. Any other tokenizer gets whole texts, and so does a text with U+001C to U+001F, which only Python
+    takes for blanks. Texts in Latin-1 are in NFC and are lower-cased at once, so that a word is one piece
+    in either case, unless they then hold an added token. A piece of Latin letters followed by ASCII punctuation splits once more, as the
     pre-tokenizer does, if what the normalizer makes of the letters is Latin letters alone. Lower-case ASCII
     words go straight to the library's BPE model; other words of letters are encoded many to a call;
     anything else is encoded alone. Beyond `limit` entries the caches take no more: that costs time,
@@ -105,8 +107,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
-        blank = any(c.isspace() for t in spec["added_tokens"] for c in t["content"]) or any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        self.piecewise = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not blank
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
+        odd = any(a != "".join(a.split()) or a.rstrip(string.punctuation).isalpha() or not a.strip(string.punctuation) for a in self.added)
+        odd = odd or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        self.piecewise = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not odd
         self.limit = limit
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
@@ -116,6 +120,15 @@ class WordEncoder:
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
 
+    def _folded(self, text: str) -> str:
+        """A Latin-1 text in lower case, as the normalizer has it; any other text as it is."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(a in low for a in self.added) else low
+
     def _letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of letters, non-ASCII ones included: one pre-token each, or else encoded alone."""
         for at in range(0, len(words), 4096):
@@ -144,7 +157,7 @@ class WordEncoder:
         """Ids of pieces that the cache lacks."""
         cores, split, plain, letters, odd = self.cores, [], set(), set(), set()
         for piece in missing:
-            core = piece.rstrip(".,")
+            core = piece.rstrip(string.punctuation)
             tail = piece[len(core) :]
             if not core.isalpha():
                 odd.add(piece)
@@ -178,7 +191,7 @@ class WordEncoder:
         """Ids of each text; its distinct pieces are looked up, and what the cache lacks is learned, for all texts at once."""
         whole = [i for i, t in enumerate(texts) if t and (not self.piecewise or any(c in t for c in _FALSE_BLANKS))]
         given = dict(zip(whole, (ids for _, ids in self._alone([texts[i] for i in whole])), strict=True)) if whole else {}
-        words = [t.split() if t and i not in given else [] for i, t in enumerate(texts)]
+        words = [self._folded(t).split() if t and i not in given else [] for i, t in enumerate(texts)]
         distinct: set[str] = set()
         for w in words:
             distinct.update(w)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -400,7 +401,7 @@ def test_encoder_equals_whole_texts_on_random_unicode():
     blanks = "".join(map(chr, (*range(0x20), 0x20, 0x7F, 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x2007, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000, 0xFEFF)))
     taken_apart = "".join(map(chr, (*range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xA33, 0xB5C, 0xF43, 0xFB1D, 0xFB1F, *range(0xFB2A, 0xFB37), 0x2ADC, 0x340, 0x341, 0x344, 0x1D15E)))
     pools = [blanks, taken_apart, ".,", "abcXYZ", "äéßÉİŉǅẞſK", "'sdlrvetm", "0½²٣", "\u0301\u0307\u0323\u093c", "ΣΌς", "日本語한글각", "<|endoftext|>", "-!…"]
-    texts = ["पढ\u095d.", "a\x1cb", "İ. x", "\u0958, a"]
+    texts = ["पढ\u095d.", "a\x1cb", "İ. x", "\u0958, a", "A <|ENDOFTEXT|> B", "A <|endoftext|> B", "It's' 'Tis (word)*** \"Word\"."]
     for _ in range(20_000):
         some = r.sample(pools, r.randrange(1, 5))
         texts.append("".join(r.choice(r.choice(some)) if r.random() < 0.9 else chr(r.choice((r.randrange(0xD800), r.randrange(0xE000, 0x11000), r.randrange(0x1F000, 0x1FA00)))) for _ in range(r.randrange(1, 14))))
