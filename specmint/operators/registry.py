@@ -106,3 +106,72 @@ def stats(registry: DataFrame, members: DataFrame, refusals: DataFrame) -> DataF
 def provisional_queue(members: DataFrame, registry: DataFrame, limit: int = 500) -> DataFrame:
     rows = members.where("link_status = 'PROVISIONAL'").join(registry.where("superseded_by is null").select("code", "class_code"), "code")
     return rows.orderBy("corroborated", "record_id").limit(limit)
+
+
+def repoint(members: DataFrame, superseded: DataFrame) -> DataFrame:
+    """Members of superseded codes (code, superseded_by) move to the code that stays; other columns are kept."""
+    moved = superseded.select("code", F.col("superseded_by").alias("_to"))
+    rows = members.join(moved, "code", "left").withColumn("code", F.coalesce("_to", "code"))
+    return rows.select(*members.columns)
+
+
+def group_key(members: Column) -> Column:
+    """The sorted record ids of a group, comma-joined: the same group has the same key in any order."""
+    return F.array_join(F.transform(F.array_sort(members), lambda i: i.cast("string")), ",")
+
+
+def merge_refusals(refusals: DataFrame, planned: DataFrame, ts: Column) -> DataFrame:
+    """(group_key, ts, reason) after a run: refused groups replace their row, groups that got a code lose theirs."""
+    tried = planned.select(group_key(F.col("members")).alias("group_key"), F.when(F.col("status").startswith("refused_"), F.col("status")).alias("reason"))
+    tried = tried.groupBy("group_key").agg(F.max("reason").alias("reason"))
+    kept = refusals.select("group_key", "ts", "reason").join(tried.select("group_key"), "group_key", "left_anti")
+    return kept.unionByName(tried.where("reason is not null").select("group_key", ts.alias("ts"), "reason"))
+
+
+def transition(members: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, events) after requests (record_id, kind, actor, ts), one a record, kind `confirm` or `unlink`.
+
+    A confirmed member is CONFIRMED and names its actor; an unlinked one goes, its code stays.
+    Requests for records without a code do nothing. Events: kind, code, record_id, actor, ts.
+    """
+    asked = requests.select("record_id", "kind", "actor", "ts")
+    events = members.select("record_id", "code").join(asked, "record_id")
+    events = events.select(F.when(F.col("kind") == "confirm", "confirmed").otherwise("unlinked").alias("kind"), "code", "record_id", "actor", "ts")
+    rows = members.join(asked.select("record_id", F.col("kind").alias("_kind"), F.col("actor").alias("_actor")), "record_id", "left")
+    rows = rows.where(F.coalesce(F.col("_kind") != "unlink", F.lit(True)))
+    confirmed = F.col("_kind") == "confirm"
+    rows = rows.withColumn("link_status", F.when(confirmed, "CONFIRMED").otherwise(F.col("link_status"))).withColumn("linked_by", F.when(confirmed, F.col("_actor")).otherwise(F.col("linked_by")))
+    return rows.select(*members.columns), events
+
+
+def checked_change(kind: Column, code: Column, target: Column, reason: Column) -> Column:
+    """Why a retirement (`supersede` by target, `revoke` for a reason) is refused; null if it may go ahead."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    superseding = F.when(blank(target), "no replacement named").when(target == code, "supersedes itself")
+    return F.when(kind == "supersede", superseding).when(kind == "revoke", F.when(blank(reason), "no reason given")).otherwise("unknown change")
+
+
+def by_class(registry: DataFrame, members: DataFrame) -> DataFrame:
+    """Per class: active and superseded codes and the members mapped to them."""
+    mapped = members.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    live = F.col("superseded_by").isNull()
+    rows = registry.join(mapped, "code", "left").groupBy("class_code")
+    return rows.agg(F.count(F.when(live, 1)).alias("active"), F.count(F.when(~live, 1)).alias("superseded"), F.coalesce(F.sum("n"), F.lit(0)).alias("mapped"))
+
+
+def consolidated(members: DataFrame) -> DataFrame:
+    """Codes whose confirmed members lie in several plants: (code, n_members, n_plants)."""
+    rows = members.where("link_status = 'CONFIRMED'").groupBy("code")
+    return rows.agg(F.count(F.lit(1)).alias("n_members"), F.count_distinct("plant").alias("n_plants")).where("n_plants > 1")
+
+
+def class_completeness(records: DataFrame, floor: float = 0.35, least: int = 20) -> DataFrame:
+    """Per class of `least` records or more the share with a complete signature, and whether it exceeds the floor."""
+    rows = records.groupBy("class_code").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("complete").cast("int")).alias("rate")).where(F.col("n") >= least)
+    return rows.withColumn("sufficient", F.col("rate") > floor)
+
+
+def entries(registry: DataFrame, members: DataFrame) -> DataFrame:
+    """Registry rows with their members as a list of (record_id, cpse, link_status) in order of record_id."""
+    held = members.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("record_id", "cpse", "link_status"))).alias("members"))
+    return registry.join(held, "code", "left").withColumn("n_members", F.when(F.col("members").isNull(), 0).otherwise(F.size("members")))

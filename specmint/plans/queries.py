@@ -911,3 +911,6 @@ def generated_benchmark(spark, sf_dir):
     rows = generate.records(spark, 2000)
     torn = rows.groupBy("family_id").agg(F.count_distinct("split").alias("n"), F.first("split").alias("split"))
     return torn.groupBy("split").agg((F.max("n") == 1).alias("sound"))
+
+
+from specmint.plans import governance  # noqa: E402, F401  (registers its queries with those above)
