@@ -118,3 +118,12 @@ def merge_proposals(rules: Column, proposed: Column, least: float = 0.5) -> tupl
     """(attributes, provisional keys): read specifications win over proposals (map key -> struct(value, confidence))."""
     fit = F.map_filter(proposed, lambda k, v: v["value"].isNotNull() & (v["confidence"] >= least) & ~F.map_contains_key(rules, k))
     return F.map_concat(rules, F.transform_values(fit, lambda _, v: v["value"])), F.map_keys(fit)
+
+
+#: Keys whose proposals are checked against a list, and how sure a proposal of either kind is.
+ENUMERATED = ("material_grade", "seal_type", "thread", "schedule")
+SURE_OF_LISTED, SURE_OF_NUMBER = 0.75, 0.60
+
+
+def proposal_confidence(key: Column) -> Column:
+    return F.when(key.isin(*ENUMERATED), F.lit(SURE_OF_LISTED)).otherwise(F.lit(SURE_OF_NUMBER))

@@ -80,3 +80,9 @@ def nearest_chunks(chunks: DataFrame, query: Column, k: int = 5, floor: float =
     """The k chunks most similar to a query vector, those under the floor left out; ties by id."""
     scored = chunks.withColumn("similarity", dot(F.col(vector), query))
     return scored.orderBy(F.desc("similarity"), ident).limit(k).where(F.col("similarity") >= floor)
+
+
+def describe(chunks: DataFrame) -> DataFrame:
+    """One row on an index: chunks, citable (with a citation that isn't empty), uncitable."""
+    citable = F.coalesce(F.col("citation") != "", F.lit(False))
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(citable, 1)).alias("citable"), F.count(F.when(~citable, 1)).alias("uncitable"))

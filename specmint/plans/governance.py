@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specmint.operators import analytics as A
 from specmint.operators import evaluate as E
+from specmint.operators import grouping as G
 from specmint.operators import registry as R
 from specmint.operators import review as V
-from specmint.plans.queries import FUSED, LOG, fused, parts, query, reviews, table
+from specmint.operators import scoring as S
+from specmint.operators import standards as N
+from specmint.plans import resolution
+from specmint.plans.queries import FUSED, LOG, OWNER, TWIN, fused, owners, part_pairs, parts, query, reviews, table, twins
 
 REGISTRY = """reg AS (SELECT p_partkey AS code, regexp_extract(p_name, '(\\S+)$', 1) AS class_code, CASE WHEN p_partkey % 7 = 0 THEN p_partkey - 1 END AS superseded_by FROM part),
 mem AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, l_partkey AS code, l_suppkey AS plant, l_suppkey % 5 AS cpse, CASE WHEN l_quantity <= 10 THEN 'PROVISIONAL' WHEN l_quantity <= 40 THEN 'CONFIRMED' ELSE 'HELD' END AS link_status FROM lineitem)"""
@@ -169,3 +174,46 @@ def method_comparison(spark, sf_dir):
     total = rows.agg(F.count(F.when(F.col("is_true"), 1)).alias("n_true"))
     out = E.compare_methods(rows, total, {"exact": "exact", "fuz": "fuz", "cos": "cos", "noveto": "noveto", "hybrid": "hybrid"})
     return out.select("method", "threshold", "selected", "hits", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"""WITH {FUSED}, {OWNER}, j AS (SELECT x.cpse AS ca, y.cpse AS cb, x.plant AS pa, y.plant AS pb FROM d JOIN own x ON x.record_id = a JOIN own y ON y.record_id = b WHERE abs(va - vb) < 25)
+    SELECT count(*) FILTER (ca <> cb) AS inter, count(*) FILTER (ca = cb AND pa <> pb) AS intra, count(*) FILTER (ca = cb AND pa = pb) AS same_plant, count(*) AS total FROM j""")
+def surfaced_scope_counts(spark, sf_dir):
+    own = owners(spark, sf_dir)
+    rows = resolution.attach(part_pairs(spark, sf_dir).select("a", "b", (F.abs(F.col("price_a") - F.col("price_b")) < 25).alias("is_true")), own, ("cpse", "plant"))
+    return A.surfaced_scopes(rows)
+
+
+@query("SELECT count(*) AS chunks, count(*) FILTER (page_id % 3 = 1) AS citable, count(*) FILTER (page_id % 3 <> 1) AS uncitable FROM pages")
+def index_describe(spark, sf_dir):
+    """A third of the pages have a citation, a third an empty one, a third none."""
+    k = F.col("page_id") % 3
+    return N.describe(table(spark, sf_dir, "pages").select(F.when(k == 0, "").when(k == 1, F.col("url")).alias("citation")))
+
+
+KINDS = ("material_grade", "seal_type", "thread", "schedule", "bore_in", "power_kw")
+
+
+@query(f"SELECT key, CASE WHEN key IN ('material_grade', 'seal_type', 'thread', 'schedule') THEN 0.75 ELSE 0.6 END::DOUBLE AS confidence, count(*) AS n FROM (SELECT {list(KINDS)}[CAST(p_size % 6 + 1 AS INT)] AS key FROM part) GROUP BY ALL")
+def proposal_confidence(spark, sf_dir):
+    keys = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_size") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(keys.alias("key"))
+    return rows.select("key", S.proposal_confidence(F.col("key")).alias("confidence")).groupBy("key", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TWIN}, w AS (SELECT group_id, count(DISTINCT record_id) AS n, array_to_string(list_sort(list(DISTINCT record_id)), ',') AS record_ids FROM m GROUP BY group_id) SELECT record_id AS asked_id, group_id, n AS size, record_ids FROM m JOIN w USING (group_id) WHERE record_id % 10 = 0")
+def groups_of_records(spark, sf_dir):
+    asked = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("record_id"))
+    out = G.groups_of(twins(spark, sf_dir), asked)
+    return out.withColumn("record_ids", F.array_join(F.transform("record_ids", lambda i: i.cast("string")), ","))
+
+
+VERDICTS = ("CONFLICT", "UNRESOLVED", "CONDITIONAL", "EQUIVALENT", "IDENTICAL", "DIFFERENT")
+
+
+@query(f"WITH {TWIN}, v AS (SELECT group_id, min(record_id % 6) AS worst FROM m GROUP BY group_id) SELECT group_id, {list(VERDICTS)}[CAST(worst + 1 AS INT)] AS status FROM v")
+def identity_statuses(spark, sf_dir):
+    """Each member as one side of a pair whose verdict goes by its id."""
+    m = twins(spark, sf_dir)
+    pairs = m.select(F.col("record_id").alias("a"), F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("record_id") % 6 + 1).cast("int")).alias("verdict"))
+    return G.identity_status(pairs, m)
