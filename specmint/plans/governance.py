@@ -201,7 +201,7 @@ def proposal_confidence(spark, sf_dir):
     return rows.select("key", S.proposal_confidence(F.col("key")).alias("confidence")).groupBy("key", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TWIN}, w AS (SELECT group_id, count(DISTINCT record_id) AS n, array_to_string(list_sort(list(DISTINCT record_id)), ',') AS record_ids FROM m GROUP BY group_id) SELECT record_id AS asked_id, group_id, n AS size, record_ids FROM m JOIN w USING (group_id) WHERE record_id % 10 = 0")
+@query(f"WITH {TWIN}, w AS (SELECT group_id, count(DISTINCT record_id) AS n_held, array_to_string(list_sort(list(DISTINCT record_id)), ',') AS record_ids FROM m GROUP BY group_id) SELECT record_id AS asked_id, group_id, n_held AS size, record_ids FROM m JOIN w USING (group_id) WHERE record_id % 10 = 0")
 def groups_of_records(spark, sf_dir):
     asked = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("record_id"))
     out = G.groups_of(twins(spark, sf_dir), asked)
