@@ -21,8 +21,6 @@ RECENCY = 1 << 12
 MIN_RATIO = -0.6
 #: All pseudo-counts together, as a share of a multinomial's real counts.
 SMOOTH = 0.005
-#: Most labelled rows that the trusted multinomial is fitted on (those with the smallest hashes).
-TRUSTED_ROWS = 20_000
 REPEAT_WINDOW = 8
 _SYMBOLS = b"#*$%&|<>"
 
@@ -93,29 +91,27 @@ def parse(text: str | None) -> tuple[str, bytes, list[bytes], np.ndarray]:
     return text, data, words, word_ids(words)
 
 
-def trusted_ids(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED_ROWS) -> np.ndarray:
-    """Sorted doc_ids labelled of good quality: the `limit` with the smallest hashes."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return np.sort(np.array([r["doc_id"] for r in rows], np.int64))
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(trusted, text) per row; trusted are all rows whose doc_id is labelled of good quality."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(good, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """log(trusted / raw) of every bucket; None when no trusted row has an n-gram.
 
-    The raw multinomial counts every row. Counts leave a task as one vector and
+    The raw multinomial counts every row, the trusted one every row labelled good. Counts leave a task as one vector and
     meet in a tree of sums, so what the driver gets has a fixed size.
     """
-    spark = docs.sparkSession
-    ids = spark.sparkContext.broadcast(trusted_ids(docs, labels))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = with_trust(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         raw, good = np.zeros((1 << BITS) + RECENCY), np.zeros((1 << BITS) + RECENCY)
         for batch in batches:
-            trusted = np.isin(batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), ids.value)
+            trusted = batch.column(0).to_numpy(zero_copy_only=False)
             waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
             size = 0
             for k, text in enumerate(batch.column(1)):
@@ -134,7 +130,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
         yield pa.RecordBatch.from_pydict({"key": ["raw", "good"], "part": pa.array([part] * 2, pa.int32()), "vec": [raw.tobytes(), good.tobytes()]})
 
     parts = rows.mapInArrow(run, "key string, part int, vec binary")
-    sums = {r["key"]: np.frombuffer(r["vec"]) for r in sum_vectors(parts, rows.rdd.getNumPartitions()).collect()}
+    sums = {r["key"]: np.frombuffer(r["vec"]) for r in sum_vectors(parts, docs.rdd.getNumPartitions()).collect()}
     if not sums:
         return None
     out = []

@@ -698,3 +698,10 @@ def test_stages(spark, docs, labels, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         rows = materialize(stage(spark, rows, str(tmp_path)))
     assert rows.count() == 0
+
+
+def test_every_good_label_counts_in_quality_rules(spark):
+    """Where all rows are labelled good the two multinomials are the same one, however many rows there are."""
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" x")).alias("text"))
+    got = quality_rules.log_ratios(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert np.abs(got).max() == 0
