@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specmint.llm.common import bound_batches, map_batches, sum_vectors, table
@@ -22,6 +22,8 @@ MIN_RATIO = -0.6
 #: All pseudo-counts together, as a share of a multinomial's real counts.
 SMOOTH = 0.005
 REPEAT_WINDOW = 8
+#: Bits that tell which ids may be trusted (4 MB): more ids in a bit cost moved texts, never a count. `bitmap_construct_agg` makes 2^_SLOT of them.
+TRUST_BITS, _SLOT = 25, 15
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -91,11 +93,32 @@ def parse(text: str | None) -> tuple[str, bytes, list[bytes], np.ndarray]:
     return text, data, words, word_ids(words)
 
 
+def trust_bits(good: DataFrame) -> DataFrame:
+    """(slot, bits): a set of 2^TRUST_BITS bits with that of each doc_id's hash; of a fixed size, whatever the number of ids."""
+    places = good.select(F.shiftright(_trust_place(F.col("doc_id")), _SLOT).alias("slot"), _trust_place(F.col("doc_id")).bitwiseAND((1 << _SLOT) - 1).alias("at"))
+    return places.groupBy("slot").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def _trust_place(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id).bitwiseAND((1 << TRUST_BITS) - 1)
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(trusted, text) per row; trusted are all rows whose doc_id is labelled of good quality."""
+    """(trusted, text) per row; trusted are all rows whose doc_id is labelled of good quality.
+
+    Only texts whose id's bit is set in `trust_bits` can be trusted: these alone meet the labels in a shuffle, which
+    says of each whether it is. All other texts stay where they are. The join is never a broadcast of ids, which
+    grow with the corpus, and does not sort texts.
+    """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(good, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    place = _trust_place(F.col("doc_id"))
+    byte = F.substring("bits", F.shiftright(place.bitwiseAND((1 << _SLOT) - 1), 3).cast("int") + 1, 1)
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place.bitwiseAND(7).cast("int"))
+    slot = F.when(F.col("doc_id").isNotNull(), F.shiftright(place, _SLOT)).alias("slot")
+    rows = rows.select("doc_id", "text", slot).join(F.broadcast(trust_bits(good)), "slot", "left").select("doc_id", "text", F.coalesce(bit == 1, F.lit(False)).alias("maybe"))
+    judged = rows.where("maybe").drop("maybe").join(good.hint("shuffle_hash"), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    return rows.where(~F.col("maybe")).select(F.lit(False).alias("trusted"), "text").unionByName(judged)
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
@@ -127,11 +150,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
                             good += counts
                     waiting, size = {True: [], False: []}, 0
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"key": ["raw", "good"], "part": pa.array([part] * 2, pa.int32()), "vec": [raw.tobytes(), good.tobytes()]})
+        found = {k: v.tobytes() for k, v in (("raw", raw), ("good", good)) if v.any()}
+        yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.string()), "part": pa.array([part] * len(found), pa.int32()), "vec": pa.array(found.values(), pa.binary())})
 
     parts = rows.mapInArrow(run, "key string, part int, vec binary")
-    sums = {r["key"]: np.frombuffer(r["vec"]) for r in sum_vectors(parts, docs.rdd.getNumPartitions()).collect()}
-    if not sums:
+    most = docs.rdd.getNumPartitions() + int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = {r["key"]: np.frombuffer(r["vec"]) for r in sum_vectors(parts, most).collect()}
+    if "good" not in sums:
         return None
     out = []
     for own in (slice(0, 1 << BITS), slice(1 << BITS, None)):

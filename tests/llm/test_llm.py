@@ -705,3 +705,19 @@ def test_every_good_label_counts_in_quality_rules(spark):
     docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" x")).alias("text"))
     got = quality_rules.log_ratios(docs, docs.select("doc_id", F.lit(1).alias("quality")))
     assert np.abs(got).max() == 0
+
+
+def test_only_texts_that_may_be_trusted_move(spark, monkeypatch):
+    """Every row has the verdict of its label, few others share a bit with a good one, and the labels never decide by their size how they meet texts."""
+    ids = [*range(-50, 2000), None, 7, 2**62]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(-60, 2100)] + [(None, 1), (2**62, 1), (7, 0), (6, 1)], "doc_id long, quality int")
+    want = Counter((i is not None and i % 3 == 0 or i == 2**62, f"text {i}") for i in ids)
+    found = quality_rules.with_trust(docs, labels)
+    assert multiset(found, "trusted", "text") == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Union" in plan
+    bits = quality_rules.trust_bits(labels.where("quality = 1 and doc_id is not null")).collect()
+    assert 0 < sum(int.from_bytes(r["bits"]).bit_count() for r in bits) <= 725
+    monkeypatch.setattr(quality_rules, "TRUST_BITS", 16)
+    assert multiset(quality_rules.with_trust(docs, labels), "trusted", "text") == want
